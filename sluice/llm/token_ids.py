@@ -17,12 +17,14 @@ import numpy as np
 END_ID = 0
 _AMBIGUOUS = re.compile(r"\s[ \n]|\x00")
 _MARKS = ".,;:!?"
+#: Texts handled together, and new pieces encoded as one text: bounds on a worker's memory.
+STEP, PIECES = 500, 4000
 
 
 class TokenEncoder:
     """Encodes batches of texts into little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, generation: int = 250_000):
+    def __init__(self, path: str, generation: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,7 +34,7 @@ class TokenEncoder:
         kind = str(self.tokenizer.pre_tokenizer)
         line_end = self._ids("\n")
         self.cuts = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None and len(line_end) == 1
-        self.line_end = line_end[0] if line_end else -1
+        self.line_end, self.line_end_raw = (line_end or [-1])[0], self._raw("\n")
         self.marks = {m: self._raw(m) for m in _MARKS} if self.cuts else {}
         self.vocabulary = self.tokenizer.get_vocab_size()
 
@@ -43,43 +45,70 @@ class TokenEncoder:
         return np.asarray(self._ids(text), dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), STEP):
+            out += self._encode(texts[at : at + STEP])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        pieces = [None if _AMBIGUOUS.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00") for t in texts]
-        known = self._known(set().union(*(p for p in pieces if p is not None)))
-        return [self._raw(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, pieces)]
-
-    def _known(self, wanted: set[str]) -> dict[str, bytes]:
+        if len(self.young) > self.generation:
+            self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        absent = []
-        for piece in wanted:
-            if piece not in young:
+        out: list[bytes] = []
+        gaps: list[tuple[int, list[str], list, list[int]]] = []
+        absent: set[str] = set()
+        for text in texts:
+            if _AMBIGUOUS.search(text):
+                out.append(self._raw(text))
+                continue
+            pieces = text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+            found = list(map(young.get, pieces))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            for i in missing:
+                piece = pieces[i]
                 ids = old.get(piece)
                 if ids is None:
-                    absent.append(piece)
+                    absent.add(piece)
                 else:
                     young[piece] = ids
-        self._learn(absent)
-        if len(young) > self.generation:
-            self.young, self.old = {}, young
-        return young
+            if missing:
+                gaps.append((len(out), pieces, found, missing))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        new = list(absent)
+        for at in range(0, len(new), PIECES):
+            self._learn(new[at : at + PIECES])
+        for at, pieces, found, missing in gaps:
+            for i in missing:
+                found[i] = young[pieces[i]]
+            out[at] = b"".join(found)
+        return out
 
     def _learn(self, absent: list[str]) -> None:
         """Encodes new pieces, a final mark or first line end apart, all of them as the lines of one text."""
-        young = self.young
-        parts = []
+        young, old, marks = self.young, self.old, self.marks
         lines: dict[str, bytes | None] = {}
+        compound: list[tuple[str, bytes, str, bytes]] = []
         for piece in absent:
+            if piece[1:].isalpha() and piece[0] != "\n":
+                lines[piece] = None
+                continue
             head, core, tail = b"", piece, b""
             if core[:1] == "\n" and len(core) > 1 and not core[1].isspace():
-                head, core = np.asarray([self.line_end], "<u4").tobytes(), core[1:]
-            if len(core) > 1 and core[-1] in self.marks and core[-2].isalnum():
-                core, tail = core[:-1], self.marks[core[-1]]
-            parts.append((piece, head, core, tail))
-            if core not in lines:
-                lines[core] = young.get(core) or self.old.get(core)
+                head, core = self.line_end_raw, core[1:]
+            if core[-1:] in marks and len(core) > 1 and core[-2].isalnum():
+                core, tail = core[:-1], marks[core[-1]]
+            if core is piece:
+                lines[piece] = None
+            else:
+                compound.append((piece, head, core, tail))
+                if core not in lines:
+                    lines[core] = young.get(core) or old.get(core)
         new = [c for c, ids in lines.items() if ids is None]
-        plain = [c for c in new if c and "\n" not in c and not c[-1].isspace() and (not c[0].isspace() or c[0] == " " and not c[1].isspace())]
+        plain = [c for c in new if c and (c[0] == " " or not c[0].isspace()) and (c[1:].isalpha() or "\n" not in c and not c[-1].isspace() and not c[1:2].isspace())]
         if plain:
             ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.line_end)
@@ -88,10 +117,11 @@ class TokenEncoder:
                 for core, end in zip(plain, [*(ends * 4).tolist(), len(ids) * 4]):
                     lines[core] = raw[at:end]
                     at = end + 4
-        for core, ids in lines.items():
-            if ids is None:
+        for core in new:
+            if lines[core] is None:
                 lines[core] = self._raw(core)
-        for piece, head, core, tail in parts:
+        young.update(lines)
+        for piece, head, core, tail in compound:
             young[piece] = head + lines[core] + tail
 
 
