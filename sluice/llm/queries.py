@@ -16,6 +16,18 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op4_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.prefix_hash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.audio import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack
     from sluice.llm.token_ids import default_tokenizer
@@ -25,6 +37,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_binary": op3_token_binary,
+    "op4_prefix_fingerprints": op4_prefix_fingerprints,
+    "op8_audio_features": op8_audio_features,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
