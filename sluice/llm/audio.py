@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from sluice.llm.common import small_batches, text_of
+from sluice.llm.common import python_ready, text_of
 
 RATE, TARGET_RATE = 16_000, 8_000
 BLOCK = 576
@@ -183,7 +183,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
 
 
 def _per_text(docs: DataFrame, values, schema: pa.Schema) -> DataFrame:
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from sluice.llm.common import small_batches, text_of, written
+from sluice.llm.common import python_ready, text_of, written
 from sluice.llm.token_ids import END_ID, encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -83,7 +83,7 @@ def patterns(histogram: dict[int, int], capacity: Capacity) -> list[tuple[int, l
 def pieces(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Documents longer than tokens are cut so that all
     pieces but the first have that length."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

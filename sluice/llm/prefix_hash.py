@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from sluice.llm.common import small_batches, text_of
+from sluice.llm.common import python_ready, text_of
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
@@ -179,7 +179,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     lowest = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(lowest).cast("long"))).withColumn("place", F.col("ord").cast("double"))

@@ -5,10 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.rule_ensemble import fit, score
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    model = fit(docs.join(labels, "doc_id"))
+    return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op5_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.severity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return score(docs, fit(docs.join(labels, "doc_id"))).select("doc_id", "severity", "grade", "score", "predicted")
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.token_binary import token_file
     from sluice.llm.token_ids import default_tokenizer
@@ -36,8 +55,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_token_binary": op3_token_binary,
     "op4_prefix_fingerprints": op4_prefix_fingerprints,
+    "op5_toxicity_severity": op5_toxicity_severity,
     "op8_audio_features": op8_audio_features,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from sluice.llm.common import shared_dir, small_batches, text_of
+from sluice.llm.common import shared_dir, python_ready, text_of
 from sluice.llm.elias_fano import EliasFano
 from sluice.llm.token_ids import END_ID, encoder
 
@@ -68,7 +68,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BL
     doc_id comes first, other columns aren't read, an empty table writes no block. One range shuffle of
     the texts; a task holds one block at a time.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                 columns = [np.full(len(ends), part.as_py(), np.int32), keys.values, starts + base.as_py(), ends - starts, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, DOCUMENTS)], schema=DOCUMENTS)
 
-    small_batches(blocks.sparkSession)
+    python_ready(blocks.sparkSession)
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
