@@ -1,21 +1,19 @@
-"""Token ids of whole texts by a tokenizers file, with a bounded cache of white-space-delimited pieces.
+"""Token ids of whole texts by a tokenizers file, with a bounded cache of space-delimited pieces.
 
 A byte-level BPE splits a text into pre-tokens before it merges, and no pre-token holds white space after
-other characters. So a text may be cut wherever white space follows a character that is none, each piece
-encoded on its own, and the ids joined: the same ids as for the whole text. Pieces repeat, so their ids
-are kept in two generations of a cache of bounded size. Texts in which this cut isn't plain (white space
-before a space or line end, or a NUL) and tokenizers of another kind take the library's own way.
+other characters. So a text may be cut wherever a space follows a character that is no white space, each
+piece encoded on its own, and the ids joined: the same ids as for the whole text. Pieces repeat, so their
+ids are kept in two generations of a cache of bounded size. Texts with white space on either side of a
+space, or a space at the end, and tokenizers of another kind take the library's own way.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
 END_ID = 0
-_AMBIGUOUS = re.compile(r"\s[ \n]|\x00")
 _MARKS = ".,;:!?"
 #: Texts handled together, and new pieces encoded as one text: bounds on a worker's memory.
 STEP, PIECES = 500, 4000
@@ -60,24 +58,28 @@ class TokenEncoder:
         gaps: list[tuple[int, list[str], list, list[int]]] = []
         absent: set[str] = set()
         for text in texts:
-            if _AMBIGUOUS.search(text):
-                out.append(self._raw(text))
-                continue
-            pieces = text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+            pieces = text.split(" ")
+            pieces[0] = " " + pieces[0]
             found = list(map(young.get, pieces))
+            if None not in found:
+                out.append(b"".join(found))
+                continue
             missing = [i for i, ids in enumerate(found) if ids is None]
+            own = []
             for i in missing:
                 piece = pieces[i]
                 ids = old.get(piece)
-                if ids is None:
-                    absent.add(piece)
-                else:
+                if ids is not None:
                     young[piece] = ids
-            if missing:
+                elif not piece or piece[-1].isspace() or i and piece[0].isspace():
+                    out.append(self._raw(text))  # where to cut isn't plain, or nothing to cut
+                    break
+                else:
+                    own.append(piece)
+            else:
+                absent.update(own)
                 gaps.append((len(out), pieces, found, missing))
                 out.append(b"")
-            else:
-                out.append(b"".join(found))
         new = list(absent)
         for at in range(0, len(new), PIECES):
             self._learn(new[at : at + PIECES])
@@ -88,41 +90,45 @@ class TokenEncoder:
         return out
 
     def _learn(self, absent: list[str]) -> None:
-        """Encodes new pieces, a final mark or first line end apart, all of them as the lines of one text."""
+        """Encodes new pieces, all as the lines of one text. " x" stands for x at the beginning of a text or
+        line, x for x after a space. Lines within a piece and a final mark are pre-tokens of their own."""
         young, old, marks = self.young, self.old, self.marks
         lines: dict[str, bytes | None] = {}
-        compound: list[tuple[str, bytes, str, bytes]] = []
+        compound: list[tuple[str, list[tuple[str, bytes]]]] = []
         for piece in absent:
-            if piece[1:].isalpha() and piece[0] != "\n":
+            if piece.isalpha():
                 lines[piece] = None
                 continue
-            head, core, tail = b"", piece, b""
-            if core[:1] == "\n" and len(core) > 1 and not core[1].isspace():
-                head, core = self.line_end_raw, core[1:]
-            if core[-1:] in marks and len(core) > 1 and core[-2].isalnum():
-                core, tail = core[:-1], marks[core[-1]]
-            if core is piece:
-                lines[piece] = None
-            else:
-                compound.append((piece, head, core, tail))
+            first, *rest = piece.split("\n")
+            if rest and (first[-1:].isspace() or not first or any(not r or r[0].isspace() or r[-1].isspace() for r in rest)):
+                young[piece] = self._raw(piece[1:] if piece[0] == " " else " " + piece)
+                continue
+            parts = []
+            for core in (first, *(" " + r for r in rest)):
+                tail = b""
+                if core[-1] in marks and len(core) > 1 and core[-2].isalnum():
+                    core, tail = core[:-1], marks[core[-1]]
                 if core not in lines:
                     lines[core] = young.get(core) or old.get(core)
+                parts.append((core, tail))
+            compound.append((piece, parts))
         new = [c for c, ids in lines.items() if ids is None]
-        plain = [c for c in new if c and (c[0] == " " or not c[0].isspace()) and (c[1:].isalpha() or "\n" not in c and not c[-1].isspace() and not c[1:2].isspace())]
+        texts = [c[1:] if c[0] == " " else " " + c for c in new]
+        plain = [k for k, t in enumerate(texts) if t[1:].isalpha() and not (t[0].isspace() and t[0] != " ") or t[1:] and "\n" not in t and not t[-1].isspace() and not t[1].isspace() and (t[0] == " " or not t[0].isspace())]
         if plain:
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) + 1 == len(plain):
                 raw, at = ids.tobytes(), 0
-                for core, end in zip(plain, [*(ends * 4).tolist(), len(ids) * 4]):
-                    lines[core] = raw[at:end]
+                for k, end in zip(plain, [*(ends * 4).tolist(), len(ids) * 4]):
+                    lines[new[k]] = raw[at:end]
                     at = end + 4
-        for core in new:
+        for core, text in zip(new, texts):
             if lines[core] is None:
-                lines[core] = self._raw(core)
+                lines[core] = self._raw(text)
         young.update(lines)
-        for piece, head, core, tail in compound:
-            young[piece] = head + lines[core] + tail
+        for piece, parts in compound:
+            young[piece] = self.line_end_raw.join([lines[core] + tail for core, tail in parts])
 
 
 _ENCODERS: dict[str, TokenEncoder] = {}
