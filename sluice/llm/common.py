@@ -57,3 +57,17 @@ def python_ready(spark: SparkSession) -> None:
 def text_of(column: str = "text"):
     """Null texts count as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, by_label: bool = False) -> DataFrame:
+    """doc_id, text and label of at most `rows` labelled rows, spread by a hash of doc_id; by_label: half of label 0, half of 1.
+
+    Only ids and labels are sorted and broadcast, at most `rows` of them; texts aren't shuffled.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    if by_label:
+        sample = known.where("label = 0").orderBy(*order).limit(rows // 2).unionByName(known.where("label = 1").orderBy(*order).limit(rows // 2))
+    else:
+        sample = known.orderBy(*order).limit(rows)
+    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")

@@ -15,8 +15,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
-    model = fit(docs.join(labels, "doc_id"))
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out), "quality")
     return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -24,8 +23,7 @@ def op5_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.severity import fit, score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return score(docs, fit(docs.join(labels, "doc_id"))).select("doc_id", "severity", "grade", "score", "predicted")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"), "toxic")).select("doc_id", "severity", "grade", "score", "predicted")
 
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import text_of
+from sluice.llm.common import labelled_sample, text_of
 
 #: Labelled rows the trees and weights are fitted on at most, chosen by a hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -137,16 +137,16 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-terms[0]))
 
 
-def fit(labelled: DataFrame, label: str = "label", sample_rows: int = SAMPLE_ROWS, penalty: float = 0.002) -> RuleEnsemble:
-    """Fits on at most sample_rows rows of labelled (doc_id, text, label 0/1), spread by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, penalty: float = 0.002) -> RuleEnsemble:
+    """Fits on at most sample_rows rows of docs (doc_id, text) that labels (doc_id, 0/1) marks, spread by a hash of doc_id.
 
     Only statistics go to the driver, one row of a dozen numbers each. Rows without a label don't count;
     if all have one label, or there are none, the ensemble is that share alone without rules.
     """
     stats = statistics(text_of())
-    rows = labelled.where(F.col(label).isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = rows.select(F.col(label).cast("double").alias(label), *(c.cast("double").alias(n) for n, c in stats.items())).toPandas()
-    y, names = rows[label].to_numpy(), list(stats)
+    rows = labelled_sample(docs, labels, label, sample_rows)
+    rows = rows.select("doc_id", F.col("label").cast("double").alias("label"), *(c.cast("double").alias(n) for n, c in stats.items())).toPandas().sort_values(["doc_id", "label", *stats])
+    y, names = rows["label"].to_numpy(), list(stats)
     share = (y.sum() + 0.5) / (len(y) + 1)
     if len(np.unique(y)) < 2:
         return RuleEnsemble(math.log(share / (1 - share)), ())

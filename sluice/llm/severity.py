@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from sluice.llm.common import python_ready, text_of
+from sluice.llm.common import labelled_sample, python_ready
 
 #: Labelled rows that the model is fitted on at most, half of them toxic, and features with a weight at most.
 SAMPLE_ROWS, FEATURES = 4000, 300
@@ -100,19 +100,15 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float
     return theta, w
 
 
-def fit(labelled: DataFrame, toxic: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Severity:
-    """Fits on at most sample_rows rows of labelled (doc_id, text, toxic 0/1), half of each label, by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Severity:
+    """Fits on at most sample_rows rows of docs (doc_id, text) that labels (doc_id, 0/1) marks, half of each label, by a hash of doc_id.
 
     Labels have no grades, so toxic rows get 1..GRADES by thirds of how often features of the toxic stand in
     them. Without rows of both labels nothing is toxic.
     """
-    rows = labelled.where(F.col(toxic).isNotNull()).select("doc_id", text_of().alias("text"), F.col(toxic).cast("int").alias("toxic"))
-    picked = []
-    for label in (0, 1):
-        of = rows.where(F.col("toxic") == label)
-        picked += of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2).select("text", "toxic").collect()
-    counts = [occurrences(r["text"]) for r in picked]
-    y = np.array([r["toxic"] for r in picked], dtype=int)
+    picked = sorted((r["label"], r["doc_id"], r["text"]) for r in labelled_sample(docs, labels, label, sample_rows, by_label=True).collect())
+    counts = [occurrences(text) for *_, text in picked]
+    y = np.array([label for label, *_ in picked], dtype=int)
     if len(np.unique(y)) < 2:
         return Severity(tuple(40.0 + k for k in range(GRADES)), {})
     chosen = _choose([set(c) for c in counts], y, features)
