@@ -26,6 +26,12 @@ def op5_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels"), "toxic")).select("doc_id", "severity", "grade", "score", "predicted")
 
 
+def op2_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.diagonals import scan, summary
+
+    return summary(scan(table(spark, sf_dir, "documents")))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.token_binary import token_file
     from sluice.llm.token_ids import default_tokenizer
@@ -54,6 +60,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_diagonals": op2_license_diagonals,
     "op3_token_binary": op3_token_binary,
     "op4_prefix_fingerprints": op4_prefix_fingerprints,
     "op5_toxicity_severity": op5_toxicity_severity,
