@@ -45,6 +45,12 @@ def op4_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.secrets import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.audio import media_digest
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_binary": op3_token_binary,
     "op4_prefix_fingerprints": op4_prefix_fingerprints,
     "op5_toxicity_severity": op5_toxicity_severity,
+    "op6_secret_randomness": op6_secret_randomness,
     "op8_audio_features": op8_audio_features,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
