@@ -57,6 +57,21 @@ def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The tables name no domain: sources are dealt to four by a checksum of their names."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")
+    return docs.withColumn("domain", F.concat(F.lit("domain"), (F.crc32(source) % 4).cast("string")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.mixing import Mixture, mix, words_and_end
+
+    weights = {"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0}}
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    mixed = mix(docs, Mixture(weights=weights, share=0.6, max_epochs=2, seed=17))
+    return mixed.select("doc_id", "domain", "lang", "source", words_and_end(F.coalesce("text", F.lit(""))).alias("tokens"), F.col("_epoch").alias("epoch"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack
     from sluice.llm.token_ids import default_tokenizer
@@ -72,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_severity": op5_toxicity_severity,
     "op6_secret_randomness": op6_secret_randomness,
     "op8_audio_features": op8_audio_features,
+    "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
