@@ -51,6 +51,12 @@ def op6_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.near_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.audio import media_digest
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_prefix_fingerprints": op4_prefix_fingerprints,
     "op5_toxicity_severity": op5_toxicity_severity,
     "op6_secret_randomness": op6_secret_randomness,
+    "op7_near_dedup": op7_near_dedup,
     "op8_audio_features": op8_audio_features,
     "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
