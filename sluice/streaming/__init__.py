@@ -1,0 +1 @@
+"""Nothing of its own: `Engine.stream` sends a streaming DataFrame through the same stages."""
