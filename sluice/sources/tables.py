@@ -50,26 +50,22 @@ def normalized(column: SparkColumn, kind: T.DataType, spark: SparkSession) -> tu
 def relation(frame: DataFrame, strict: bool = True, ordered: bool = False) -> Relation:
     """frame as a relation. strict: a column of another type is an error; else it is left out."""
     spark = frame.sparkSession
+    ids = [fresh() for _ in frame.columns]  # at once, as names may repeat, ignoring case
+    renamed = frame.toDF(*ids)
     scope, columns = [], []
-    for k, f in enumerate(frame.schema.fields):
-        at = frame.columns.count(f.name) == 1
-        column = F.col("`" + f.name.replace("`", "``") + "`") if at else None
-        made = normalized(column if at else F.lit(None), f.dataType, spark)
-        if made is None:
-            if strict:
-                raise UnsupportedTable(f"column {f.name} is of type {f.dataType.simpleString()}")
-            continue
-        if not at:  # found to be a duplicate when the table is used
-            made = (F.lit(None).cast(made[1].value), made[1])
-        id_ = fresh()
-        columns.append(made[0].alias(id_))
-        scope.append(Column(f.name, id_, made[1]))
+    for id_, f in zip(ids, frame.schema.fields):
+        made = normalized(F.col(id_), f.dataType, spark)
+        if made is not None:
+            columns.append(made[0].alias(id_))
+            scope.append(Column(f.name, id_, made[1]))
+        elif strict:
+            raise UnsupportedTable(f"column {f.name} is of type {f.dataType.simpleString()}")
     if not scope:
         raise UnsupportedTable("no column can be read")
     order = fresh() if ordered else None
     if order:
         columns.append(F.monotonically_increasing_id().alias(order))
-    return Relation(frame.select(*columns), Scope(scope), order)
+    return Relation(renamed.select(*columns), Scope(scope), order)
 
 
 def parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
