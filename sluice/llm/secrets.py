@@ -3,8 +3,8 @@
 Spans of three kinds come from patterns. The battery adds spans of kind "random": runs of at least 20
 symbols of an encoding (hex, base32, base64) of which the index of coincidence is too low for text. Its
 tests: chi-squared uniformity over the encoding's alphabet, against what text would give (that is the p
-value of a discovery); runs above and below the middle of the alphabet, and serial correlation, both of
-which must not reject randomness. Discoveries are those that the Benjamini-Hochberg rule keeps within
+value of a discovery), and over its classes of symbols; runs above and below the middle of the alphabet and
+within a class; serial correlation. None but the first may reject randomness. Discoveries are those that the Benjamini-Hochberg rule keeps within
 their length class, over all candidates of all documents.
 """
 
@@ -71,7 +71,8 @@ def battery(match: Column) -> Column:
     base64 = body.rlike("[A-Z]") & body.rlike("[a-z]") & body.rlike("[0-9]")
     size = F.when(hexa, 16).when(base32, 32).when(base64, 64).cast("double")
     text_like = F.when(hexa, 0.10).when(base32, 0.066).when(base64, 0.060)
-    alphabet = F.when(hexa, "0123456789abcdef").when(base32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    alphabet64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    alphabet = F.when(hexa, "0123456789abcdef").when(base32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").otherwise(alphabet64)
     marks = F.split(F.translate(F.when(hexa, F.lower(body)).otherwise(body), "-_", "+/"), "")
     n = F.length(body).cast("double")
     squares = F.aggregate(F.array_distinct(marks), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(marks, lambda x: x == c)).cast("double"), F.lit(2.0)))
@@ -89,13 +90,25 @@ def battery(match: Column) -> Column:
     run_mean = 1 + 2 * n1 * n2 / n
     run_var = (run_mean - 1) * (run_mean - 2) / F.greatest(n - 1, F.lit(1.0))
     runs = F.when(run_var > 0, 2 * _normal_below(-F.abs((steps - run_mean) / F.sqrt(run_var)))).otherwise(0.0)
+    # Text stays within a class (capitals, small letters, digits, others) longer than even shares of the alphabet would.
+    kinds = F.split(F.translate(F.translate(body, "-_", "+/"), alphabet64, "A" * 26 + "a" * 26 + "0" * 10 + "++"), "")
+    changes = F.size(F.filter(F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds)), lambda a, b: a != b), lambda x: x))
+    change = 1 - (26**2 + 26**2 + 10**2 + 2**2) / 64**2
+    class_runs = F.when(base64, _normal_below((changes - change * (n - 1)) / F.sqrt((n - 1) * change * (1 - change)))).otherwise(1.0)
+    # Chi-squared over the classes, by Wilson and Hilferty's cube root.
+    def surprise(symbol: str, share: float) -> Column:
+        return F.pow(F.size(F.filter(kinds, lambda x: x == symbol)) - share * n, F.lit(2.0)) / (share * n)
+
+    classes = surprise("A", 26 / 64) + surprise("a", 26 / 64) + surprise("0", 10 / 64) + surprise("+", 2 / 64)
+    uneven = (F.pow(classes / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / (2 / 27) ** 0.5
+    class_shares = F.when(base64, _normal_below(-uneven)).otherwise(1.0)
     average = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
     around = F.transform(values, lambda v: v - average)
     spread = F.aggregate(around, F.lit(0.0), lambda a, v: a + v * v)
     lagged = F.aggregate(F.zip_with(F.slice(around, 1, F.size(around) - 1), F.slice(around, 2, F.size(around)), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     serial = F.when(spread > 0, 2 * _normal_below(-F.abs((lagged / spread + 1 / n) * F.sqrt(n)))).otherwise(0.0)
     evidence = F.least(-F.log10(F.greatest(p_text, F.lit(1e-16))), F.lit(MOST))
-    return F.when(size.isNotNull() & (runs >= REJECT) & (serial >= REJECT), evidence).otherwise(0.0)
+    return F.when(size.isNotNull() & (runs >= REJECT) & (class_runs >= REJECT) & (class_shares >= REJECT) & (serial >= REJECT), evidence).otherwise(0.0)
 
 
 def _length_class(match: Column) -> Column:
