@@ -185,7 +185,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(lowest).cast("long"))).withColumn("place", F.col("ord").cast("double"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select("place").stat.approxQuantile("place", [i / parts for i in range(1, parts)], 0.25 / parts)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(rows).drop("place").withColumn("range", F.col("range").cast("int"))
     heads = rows.groupBy("range").agg(F.min("ord").alias("ord"))
     order = Window.orderBy("range")
