@@ -3,7 +3,7 @@
 Equal texts are one node from the start, so copies cost nothing further. Nodes that share a band of three
 samples are candidates: each with the bucket's least and greatest node (a star, not all pairs), and, where
 the star leaves a bucket in several components, the components' representatives with each other. Links are
-verified by the weighted Jaccard similarity of the whole texts, and classes are the components of the links.
+verified by the weighted Jaccard similarity of the whole texts, or the plain one; classes are the components.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ SIMILARITY = 0.8
 LEADERS = 16
 _SLICES = 64
 _COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64()))])
-_LINKS = pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())])
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())])
+_LINKS = pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64()), ("plain", pa.float64())])
 
 
 def sample(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
@@ -50,9 +50,8 @@ def sample(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: int)
     return mix(hashes[best] ^ mix(t[best].astype(np.int64).view(np.uint64) + np.uint64(k)))
 
 
-def bands(hashes: np.ndarray, times: np.ndarray, counts: np.ndarray, weights: Weights) -> np.ndarray:
-    """A row of band values for each text; texts without shingles must not be among them."""
-    w = weights.of(hashes, times)
+def bands(hashes: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of band values for each weighted set; empty ones must not be among them."""
     out = np.empty((len(counts), BANDS), np.uint64)
     for b in range(BANDS):
         value = np.zeros(len(counts), np.uint64)
@@ -92,24 +91,29 @@ def frequencies(docs: DataFrame) -> Weights:
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, node (a hash of the whole text) and band values, none for a text without words. weights: a broadcast."""
+    """doc_id, node (a hash of the whole text), band values (none for a text without words) and total weight. weights: a broadcast."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list = []
+            totals: list[float] = []
             for _, run in parts(batch["text"].to_pylist()):
                 hashes, times, counts = shingles(run)
-                some = counts > 0
-                rows = iter(bands(hashes, times, counts[some], weights.value).tolist() if some.any() else ())
+                w, some = weights.value.of(hashes, times), counts > 0
+                rows = iter(bands(hashes, w, counts[some]).tolist() if some.any() else ())
                 found += [next(rows) if x else [] for x in some]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], pa.array(found, _SIGNATURES.field("bands").type)], schema=_SIGNATURES)
+                sums, ends = np.concatenate([[0.0], np.cumsum(w, dtype=np.float64)]), np.cumsum(counts)
+                totals += (sums[ends] - sums[ends - counts]).tolist()
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], pa.array(found, _SIGNATURES.field("bands").type), pa.array(totals)], schema=_SIGNATURES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of().cast("binary")).alias("node"), text_of().alias("text"))
     return rows.mapInArrow(sign, from_arrow_schema(_SIGNATURES))
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, weights, similarity: float) -> DataFrame:
-    """Pairs (a, b) with their similarity, those at or above the threshold. One text for each node is fetched."""
+    """Pairs (a, b) with their weighted similarity and the plain one of their sets of shingles, those that reach the
+    threshold in either: in a large group of near copies common shingles weigh less than what is changed, which
+    mustn't part texts whose shingles are alike. One text for each node is fetched."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
     rows = docs.select(F.md5(text_of().cast("binary")).alias("node"), _id(F.col("doc_id").cast("long")).alias("id"), text_of().alias("text"))
     texts = written(rows.join(wanted, ["node", "id"]).dropDuplicates(["node", "id"]).select("node", "text"), "near-texts")
@@ -132,9 +136,10 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, weights, simil
                         held[name] = (hashes, weights.value.of(hashes, times))
                     pair.append(held[name])
                 value = weighted_jaccard(*pair)
-                if value >= similarity:
-                    out.append((names["a"][i], names["b"][i], value))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 3, _LINKS)], schema=_LINKS)
+                plain = weighted_jaccard(*((h, np.ones(len(h), np.float32)) for h, _ in pair))
+                if max(value, plain) >= similarity:
+                    out.append((names["a"][i], names["b"][i], value, plain))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 4, _LINKS)], schema=_LINKS)
 
     return both.mapInArrow(check, from_arrow_schema(_LINKS))
 
@@ -167,7 +172,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (a hash of the text) and class_id, the least doc_id of its class, for every row of docs (doc_id, text).
+    """doc_id, node (a hash of the text), root (the least node of its class) and class_id (the least doc_id there)
+    for every row of docs (doc_id, text).
 
     A null text is empty, texts without words are in the class of the texts equal to them, a null doc_id
     keeps its row and counts as the least of all where a class must choose, repeated rows are in one class,
@@ -178,48 +184,50 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     python_ready(spark)
     weights = spark.sparkContext.broadcast(frequencies(docs))  # two rows of 2^18 cells, whatever the size of docs
     signed = written(signatures(docs, weights), "near-signatures")
-    nodes = written(signed.groupBy("node").agg(F.min(_id(F.col("doc_id"))).alias("id"), F.first("bands").alias("bands")), "near-nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    nodes = written(signed.groupBy("node").agg(F.min(_id(F.col("doc_id"))).alias("id"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "near-nodes")
+    members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "value"))
     ends = members.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     met = written(members.join(ends, ["band", "value"]), "near-buckets")
     star = written(_ordered(met.select("node", F.explode(F.array("low", "high")).alias("y")).withColumnRenamed("node", "x")), "near-pairs")
     links = written(verified(docs, nodes, star, weights, similarity), "near-links")
     roots = components(links)
-    rest = written(_between(met, roots).join(star, ["a", "b"], "left_anti"), "near-pairs")
+    rest = written(_between(met, roots, similarity).join(star, ["a", "b"], "left_anti"), "near-pairs")
     if not rest.isEmpty():
         more = written(verified(docs, nodes, rest, weights, similarity), "near-links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    final = named.join(least, "root").select("node", F.when(F.col("class_id") > -(1 << 63), F.col("class_id")).alias("class_id"))
+    final = named.join(least, "root").select("node", "root", F.when(F.col("class_id") > -(1 << 63), F.col("class_id")).alias("class_id"))
     return signed.select("doc_id", "node").join(final, "node")
 
 
-def _between(met: DataFrame, roots: DataFrame) -> DataFrame:
+def _between(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs of components that share a bucket, each by its least node there: the first LEADERS with all others.
 
-    Where a bucket holds more components than that, those that share a second band meet in the narrower
-    buckets of both bands, again LEADERS with all others.
+    Weights of sets with a link differ by a factor of s / (2 - s) at most (s the threshold, weights of a
+    shingle between 1/2 and 1), so a bucket falls into windows of two neighbouring classes of weight. Where one holds more components than LEADERS and one, those that
+    share a second band meet in the narrower buckets of both bands, again LEADERS with all others.
     """
-    own = met.select("node", "band", "value").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts_ = own.groupBy("band", "value", "root").agg(F.min("node").alias("node"))
-    sizes = parts_.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts_ = written(parts_.join(sizes, ["band", "value"]), "near-parts")
-    few = parts_.where(F.col("n") <= LEADERS + 1).select(F.struct("band", "value").alias("bucket"), "node")
-    many = parts_.where(F.col("n") > LEADERS + 1)
-    two = many.alias("l").join(met.alias("r"), (F.col("l.node") == F.col("r.node")) & (F.col("l.band") < F.col("r.band")))
-    two = two.select(F.struct(F.col("l.band").alias("band"), F.xxhash64("l.value", "r.band", "r.value").alias("value")).alias("bucket"), F.col("l.node").alias("node"))
-    every = few.unionByName(two)
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-    lead = ranked.where(F.col("rank") <= LEADERS).groupBy("bucket").agg(F.collect_list("node").alias("leaders"))
-    return _ordered(ranked.join(lead, "bucket").select(F.col("node").alias("x"), F.explode("leaders").alias("y")))
+    class_ = F.floor(F.log("weight") / float(np.log((2 - similarity) / similarity)))
+    own = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("window", class_)
+    own = own.unionByName(own.withColumn("window", F.col("window") + 1))
+    parts_ = own.groupBy("band", "value", "window", "root").agg(F.min("node").alias("node"))
+    sizes = parts_.groupBy("band", "value", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts_ = written(parts_.join(sizes, ["band", "value", "window"]), "near-parts")
+    few = parts_.where(F.col("n") <= LEADERS + 1).select(F.xxhash64("band", "value", "window").alias("bucket"), "node")
+    many = parts_.where(F.col("n") > LEADERS + 1).select("node", "band", "value", "window")
+    two = many.join(met.select("node", F.col("band").alias("band2"), F.col("value").alias("value2")), "node").where("band < band2")
+    two = two.select(F.xxhash64("band", "value", "window", "band2", "value2").alias("bucket"), "node")
+    ranked = few.unionByName(two).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
+    lead = ranked.where(F.col("rank") <= LEADERS).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("leaders")).where(F.size("leaders") > 1)
+    later = ranked.where("rank > 1").join(lead, "bucket")
+    return _ordered(later.select(F.col("node").alias("x"), F.explode(F.slice("leaders", 1, F.least(F.col("rank") - 1, F.lit(LEADERS)))).alias("y")))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of docs for each class: that of the least doc_id (of equal doc_ids in one class, of the least node)."""
-    found = classes(docs, similarity).withColumn("id", _id(F.col("doc_id"))).withColumn("class", _id(F.col("class_id")))
-    keep = found.where(F.col("id") == F.col("class")).groupBy("class", F.when(F.col("class") == -(1 << 63), F.col("node")).alias("_split")).agg(F.min("node").alias("_node"))
-    keep = keep.select("_node", F.col("class").alias("_id"))
+    """One row of docs for each class: that of the least doc_id, a null one before all, of equal ones the least node."""
+    found = classes(docs, similarity).withColumn("id", _id(F.col("doc_id")))
+    keep = found.groupBy("root").agg(F.min(F.struct("id", "node")).alias("kept")).select(F.col("kept.node").alias("_node"), F.col("kept.id").alias("_id"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.md5(text_of().cast("binary")).alias("_node"), _id(F.col("doc_id").cast("long")).alias("_id"))
     return rows.join(keep, ["_node", "_id"]).dropDuplicates(["_node", "_id"]).select("_row.*")
