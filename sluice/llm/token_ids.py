@@ -1,40 +1,103 @@
-"""Token ids of whole texts by a tokenizers file, with a bounded cache of space-delimited pieces.
+"""Token ids of whole texts by a tokenizers file, with a bounded table of space-delimited pieces.
 
 A byte-level BPE splits a text into pre-tokens before it merges, and no pre-token holds white space after
 other characters. So a text may be cut wherever a space follows a character that is no white space, each
-piece encoded on its own, and the ids joined: the same ids as for the whole text. Pieces repeat, so their
-ids are kept in two generations of a cache of bounded size. Texts with white space on either side of a
-space, or a space at the end, and tokenizers of another kind take the library's own way.
+piece encoded on its own, and the ids joined: the same ids as for the whole text. Pieces repeat: those seen
+are found by a 128-bit hash in arrays, many at a time, and only new ones go to the library. Texts with white
+space on either side of a space, or a space at the end, and tokenizers of another kind take the library's
+own way.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
 END_ID = 0
 _MARKS = ".,;:!?"
-#: Texts handled together, and new pieces encoded as one text: bounds on a worker's memory.
-STEP, PIECES = 500, 4000
+_IS_MARK, _IS_WORD = np.zeros(256, bool), np.zeros(256, bool)
+_IS_MARK[[ord(m) for m in _MARKS]] = True
+_IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = True
+#: Bytes of texts handled together, new pieces encoded as one text, and slots of the table as a power of
+#: two, of which six tenths are used at most: bounds on a worker's memory.
+STEP_BYTES, PIECES, SLOTS = 1 << 20, 4000, 21
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class PieceTable:
+    """Ids by a piece's two hashes, with open addressing over arrays."""
+
+    def __init__(self, bits: int = SLOTS):
+        self.bits, self.most = bits, (1 << bits) * 6 // 10
+        self.clear()
+
+    def clear(self) -> None:
+        size = 1 << self.bits
+        self.first, self.second = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.start, self.length = np.zeros(size, np.int64), np.zeros(size, np.int32)
+        self.pool, self.used, self.count = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 for those that aren't there."""
+        mask = np.int64((1 << self.bits) - 1)
+        slot, out = first.astype(np.int64) & mask, np.full(len(first), -1, np.int64)
+        todo = np.arange(len(first))
+        while len(todo):
+            at = slot[todo]
+            there = self.first[at]
+            hit = (there == first[todo]) & (self.second[at] == second[todo])
+            out[todo[hit]] = at[hit]
+            todo = todo[~hit & (there != 0)]
+            slot[todo] = (slot[todo] + 1) & mask
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray, ids: list[bytes]) -> None:
+        """Pieces that aren't there yet, each once."""
+        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        starts = self.used + np.cumsum(lengths) - lengths
+        total = self.used + int(lengths.sum())
+        if total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), "<u4")])
+        self.pool[self.used : total] = np.frombuffer(b"".join(ids), "<u4")
+        self.used, self.count = total, self.count + len(ids)
+        mask = np.int64((1 << self.bits) - 1)
+        slot, todo = first.astype(np.int64) & mask, np.arange(len(first))
+        while len(todo):
+            free = todo[self.first[slot[todo]] == 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            at = slot[free]
+            self.first[at], self.second[at], self.start[at], self.length[at] = first[free], second[free], starts[free], lengths[free]
+            left = np.ones(len(first), bool)
+            left[free] = False
+            todo = todo[left[todo]]
+            slot[todo] = np.where(self.first[slot[todo]] != 0, (slot[todo] + 1) & mask, slot[todo])
 
 
 class TokenEncoder:
-    """Encodes batches of texts into little-endian unsigned 32-bit ids as bytes."""
+    """Encodes texts into little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, generation: int = 600_000):
+    def __init__(self, path: str, bits: int = SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.generation, self.young, self.old = generation, {}, {}
+        self.vocabulary = self.tokenizer.get_vocab_size()
         kind = str(self.tokenizer.pre_tokenizer)
         line_end = self._ids("\n")
         self.cuts = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None and len(line_end) == 1
         self.line_end, self.line_end_raw = (line_end or [-1])[0], self._raw("\n")
         self.marks = {m: self._raw(m) for m in _MARKS} if self.cuts else {}
-        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.table = PieceTable(bits)
+        self._powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _BASES]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -43,99 +106,130 @@ class TokenEncoder:
         return np.asarray(self._ids(text), dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), STEP):
-            out += self._encode(texts[at : at + STEP])
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.young) > self.generation:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        out: list[bytes] = []
-        gaps: list[tuple[int, list[str], list, list[int]]] = []
-        absent: set[str] = set()
+        return [ids for run in self._runs(texts) for ids in self._encode(run)]
+
+    @staticmethod
+    def _runs(texts: list[str]) -> Iterator[list[bytes]]:
+        run: list[bytes] = []
+        size = 0
         for text in texts:
-            pieces = text.split(" ")
-            pieces[0] = " " + pieces[0]
-            found = list(map(young.get, pieces))
-            if None not in found:
-                out.append(b"".join(found))
-                continue
-            missing = [i for i, ids in enumerate(found) if ids is None]
-            own = []
-            for i in missing:
-                piece = pieces[i]
-                ids = old.get(piece)
-                if ids is not None:
-                    young[piece] = ids
-                elif not piece or piece[-1].isspace() or i and piece[0].isspace():
-                    out.append(self._raw(text))  # where to cut isn't plain, or nothing to cut
-                    break
-                else:
-                    own.append(piece)
-            else:
-                absent.update(own)
-                gaps.append((len(out), pieces, found, missing))
-                out.append(b"")
-        new = list(absent)
-        for at in range(0, len(new), PIECES):
-            self._learn(new[at : at + PIECES])
-        for at, pieces, found, missing in gaps:
-            for i in missing:
-                found[i] = young[pieces[i]]
-            out[at] = b"".join(found)
+            raw = text.encode()
+            if run and size + len(raw) > STEP_BYTES:
+                yield run
+                run, size = [], 0
+            run.append(raw)
+            size += len(raw)
+        if run:
+            yield run
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of data[start:end] for each piece; opens: which of them begin a text."""
+        out = []
+        for k, base in enumerate(_BASES):
+            if len(self._powers[k][0]) <= len(data):
+                size = 1 << len(data).bit_length()
+                powers = [np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+                for p in powers:
+                    p[0] = 1
+                    np.multiply.accumulate(p, out=p)
+                self._powers[k] = (powers[0], powers[1])
+            up, down = self._powers[k]
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+            shape = _mixed(((ends - starts) * 2 + opens + 1).astype(np.uint64) * np.uint64(base))
+            out.append(_mixed((sums[ends] - sums[starts]) * down[starts] + shape))
+        out[0] = np.maximum(out[0], np.uint64(1))  # 0 marks an empty slot
         return out
 
-    def _learn(self, absent: list[str]) -> None:
-        """Encodes new pieces, all as the lines of one text. " x" stands for x at the beginning of a text or
+    def _encode(self, raws: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+        text_starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        before, after = np.concatenate([[32], data[:-1]]), np.concatenate([data[1:], [32]])
+        # Besides spaces: a mark that ends a word of ASCII, and a line end between two visible ASCII characters.
+        marks = _IS_MARK[data] & _IS_WORD[before] & ((after == 32) | (after == 10))
+        lines = (data == 10) & (before > 32) & (before < 127) & (after > 32) & (after < 127)
+        begins = marks | lines | np.concatenate([[False], lines[:-1]])
+        opens_at = begins.copy()
+        begins |= before == 32
+        opens_at[text_starts[:-1]] = begins[text_starts[:-1]] = True
+        starts = np.flatnonzero(begins)
+        opens = opens_at[starts].astype(np.int64)
+        ends = np.append(starts[1:], len(data))
+        ends = np.where(data[ends - 1] == 32, np.maximum(ends - 1, starts), ends)
+        if len(ends) > self.table.most // 2:
+            return [self._raw(r.decode()) for r in raws]  # more pieces than the table is made for
+        if self.table.count + len(ends) > self.table.most:
+            self.table.clear()
+        firsts = np.searchsorted(starts, text_starts)
+        hashes = self._hashes(data, starts, ends, opens)
+        slots = self.table.find(*hashes)
+        own_way: set[int] = set()
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = missing[np.unique(hashes[0][missing], return_index=True)[1]]
+            pieces = [(" " if o else "") + data[a:b].tobytes().decode() for a, b, o in zip(starts[new].tolist(), ends[new].tolist(), opens[new].tolist())]
+            plain = [k for k, p in enumerate(pieces) if p in (" ", " \n") or p and not p[-1].isspace() and (p[0] == " " or not p[0].isspace())]
+            learned: list[bytes] = []
+            for at in range(0, len(plain), PIECES):
+                learned += self._learn([pieces[k] for k in plain[at : at + PIECES]])
+            keep = new[plain]
+            self.table.add(hashes[0][keep], hashes[1][keep], learned)
+            slots[missing] = self.table.find(hashes[0][missing], hashes[1][missing])
+            # What is left is white space that a cut would part, or two pieces of one first hash.
+            own_way = set((np.searchsorted(firsts, np.flatnonzero(slots < 0), side="right") - 1).tolist())
+        lengths = np.where(slots < 0, 0, self.table.length[slots]).astype(np.int64)
+        upto = np.cumsum(lengths)
+        begin = self.table.start[slots]
+        ids = self.table.pool[np.repeat(begin - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)]
+        cut = np.concatenate([[0], upto])[firsts].tolist()
+        return [self._raw(raws[k].decode()) if k in own_way else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(cut, cut[1:]))]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of pieces, all encoded as the lines of one text. " x" stands for x at the beginning of a text or
         line, x for x after a space. Lines within a piece and a final mark are pre-tokens of their own."""
-        young, old, marks = self.young, self.old, self.marks
-        lines: dict[str, bytes | None] = {}
-        compound: list[tuple[str, list[tuple[str, bytes]]]] = []
-        for piece in absent:
+        lines: dict[str, bytes | None] = {" ": b""}
+        made: list[list[tuple[str, bytes]] | bytes] = []
+        for piece in new:
             if piece.isalpha():
                 lines[piece] = None
+                made.append([(piece, b"")])
                 continue
             first, *rest = piece.split("\n")
-            if rest and (first[-1:].isspace() or not first or any(not r or r[0].isspace() or r[-1].isspace() for r in rest)):
-                young[piece] = self._raw(piece[1:] if piece[0] == " " else " " + piece)
+            if rest and (not first or first[-1].isspace() or any(not r or r[0].isspace() or r[-1].isspace() for r in rest)):
+                made.append(self._raw(piece[1:] if piece[0] == " " else " " + piece))
                 continue
             parts = []
             for core in (first, *(" " + r for r in rest)):
                 tail = b""
-                if core[-1] in marks and len(core) > 1 and core[-2].isalnum():
-                    core, tail = core[:-1], marks[core[-1]]
-                if core not in lines:
-                    lines[core] = young.get(core) or old.get(core)
+                if core[-1] in self.marks and len(core) > 1 and core[-2].isalnum():
+                    core, tail = core[:-1], self.marks[core[-1]]
+                lines.setdefault(core, None)
                 parts.append((core, tail))
-            compound.append((piece, parts))
-        new = [c for c, ids in lines.items() if ids is None]
-        texts = [c[1:] if c[0] == " " else " " + c for c in new]
-        plain = [k for k, t in enumerate(texts) if t[1:].isalpha() and not (t[0].isspace() and t[0] != " ") or t[1:] and "\n" not in t and not t[-1].isspace() and not t[1].isspace() and (t[0] == " " or not t[0].isspace())]
+            made.append(parts)
+        cores = [c for c, ids in lines.items() if ids is None]
+        texts = [c[1:] if c[0] == " " else " " + c for c in cores]
+        plain = [k for k, t in enumerate(texts) if t[1:].isalpha() and (t[0] == " " or not t[0].isspace()) or t[1:] and "\n" not in t and not t[-1].isspace() and not t[1].isspace() and (t[0] == " " or not t[0].isspace())]
         if plain:
             ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) + 1 == len(plain):
                 raw, at = ids.tobytes(), 0
                 for k, end in zip(plain, [*(ends * 4).tolist(), len(ids) * 4]):
-                    lines[new[k]] = raw[at:end]
+                    lines[cores[k]] = raw[at:end]
                     at = end + 4
-        for core, text in zip(new, texts):
+        for core, text in zip(cores, texts):
             if lines[core] is None:
                 lines[core] = self._raw(text)
-        young.update(lines)
-        for piece, parts in compound:
-            young[piece] = self.line_end_raw.join([lines[core] + tail for core, tail in parts])
+        return [parts if isinstance(parts, bytes) else self.line_end_raw.join([lines[core] + tail for core, tail in parts]) for parts in made]
 
 
 _ENCODERS: dict[str, TokenEncoder] = {}
 
 
 def encoder(path: str) -> TokenEncoder:
-    """One for each Python worker, so that its cache outlives a task."""
+    """One for each Python worker, so that its table outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = TokenEncoder(path)
     return _ENCODERS[path]

@@ -16,7 +16,7 @@ from sluice.llm.token_ids import TokenEncoder, default_tokenizer
 
 @pytest.fixture(scope="module")
 def encoder():
-    return TokenEncoder(default_tokenizer(), generation=50)
+    return TokenEncoder(default_tokenizer(), bits=10)
 
 
 def ids_of(encoder, text):
@@ -34,7 +34,7 @@ def test_ids_are_those_of_the_library(texts):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(encoder, text)[:-1]
 
 
-_ENCODER = TokenEncoder(default_tokenizer(), generation=20)
+_ENCODER = TokenEncoder(default_tokenizer(), bits=9)
 
 
 @settings(max_examples=100, deadline=None)
