@@ -22,8 +22,9 @@ from sluice.llm.shingles import Weights, mix, parts, shingles, weighted_jaccard
 
 BANDS, SAMPLES = 8, 3
 SIMILARITY = 0.8
-#: Representatives compared with all others of their bucket; with so many or one more, that is every pair.
-LEADERS = 16
+#: Nodes of a bucket that are compared in all pairs at most, and those that, drawn anew each turn, are compared
+#: with all others where there are more.
+FEW, LEADERS = 12, 4
 _SLICES = 64
 _COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())])
@@ -110,13 +111,16 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
     return rows.mapInArrow(sign, from_arrow_schema(_SIGNATURES))
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, weights, similarity: float) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text, one row for each of nodes (node, id), written: every round of verification reads it."""
+    rows = docs.select(F.md5(text_of().cast("binary")).alias("node"), _id(F.col("doc_id").cast("long")).alias("id"), text_of().alias("text"))
+    return written(rows.join(nodes, ["node", "id"]).dropDuplicates(["node", "id"]).select("node", "text"), "near-texts")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, weights, similarity: float) -> DataFrame:
     """Pairs (a, b) with their weighted similarity and the plain one of their sets of shingles, those that reach the
     threshold in either: in a large group of near copies common shingles weigh less than what is changed, which
-    mustn't part texts whose shingles are alike. One text for each node is fetched."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
-    rows = docs.select(F.md5(text_of().cast("binary")).alias("node"), _id(F.col("doc_id").cast("long")).alias("id"), text_of().alias("text"))
-    texts = written(rows.join(wanted, ["node", "id"]).dropDuplicates(["node", "id"]).select("node", "text"), "near-texts")
+    mustn't part texts whose shingles are alike. Whole texts are compared."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +128,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, weights, simil
             names = {k: batch[k].to_pylist() for k in ("a", "b")}
             held: dict[str, tuple] = {}
             out: list[tuple] = []
-            texts_of = {k: batch[f"text_{k}"] for k in ("a", "b")}
+            bodies = {k: batch[f"text_{k}"] for k in ("a", "b")}
             for i in range(batch.num_rows):
                 pair = []
                 for k in ("a", "b"):
@@ -132,7 +136,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, weights, simil
                     if name not in held:
                         if len(held) > 256:
                             held.clear()
-                        hashes, times, _ = shingles([texts_of[k][i].as_py().encode()])
+                        hashes, times, _ = shingles([bodies[k][i].as_py().encode()])
                         held[name] = (hashes, weights.value.of(hashes, times))
                     pair.append(held[name])
                 value = weighted_jaccard(*pair)
@@ -188,41 +192,60 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "value"))
     ends = members.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     met = written(members.join(ends, ["band", "value"]), "near-buckets")
-    star = written(_ordered(met.select("node", F.explode(F.array("low", "high")).alias("y")).withColumnRenamed("node", "x")), "near-pairs")
-    links = written(verified(docs, nodes, star, weights, similarity), "near-links")
-    roots = components(links)
-    rest = written(_between(met, roots, similarity).join(star, ["a", "b"], "left_anti"), "near-pairs")
-    if not rest.isEmpty():
-        more = written(verified(docs, nodes, rest, weights, similarity), "near-links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    texts = texts_of(docs, nodes.select("node", "id").join(met.select("node").distinct(), "node"))
+    pairs = written(_ordered(met.select("node", F.explode(F.array("low", "high")).alias("y")).withColumnRenamed("node", "x")), "near-pairs")
+    links = written(verified(texts, pairs, weights, similarity), "near-links")
+    roots, compared, turn = components(links), pairs, 0
+    while True:  # until no bucket has components left to compare, or comparing them joins none
+        pairs = written(_between(met, roots, similarity, turn).join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        more = written(verified(texts, pairs, weights, similarity), "near-links")
+        if more.isEmpty():
+            break
+        compared, turn = compared.unionByName(pairs), turn + 1
+        roots = _joined(roots, more)
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
     final = named.join(least, "root").select("node", "root", F.when(F.col("class_id") > -(1 << 63), F.col("class_id")).alias("class_id"))
     return signed.select("doc_id", "node").join(final, "node")
 
 
-def _between(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of components that share a bucket, each by its least node there: the first LEADERS with all others.
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after links between their components: only the components' graph is searched again."""
+    one, two = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
+    ends = links.select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    ends = ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
+    found = components(_ordered(ends)).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    moved = roots.join(found, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    added = found.select(F.col("root").alias("node"), F.col("new").alias("root")).join(roots, "node", "left_anti")
+    return written(moved.unionByName(added), "near-roots")
+
+
+def _between(met: DataFrame, roots: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
+    """Pairs of nodes that share a bucket but no component.
 
     Weights of sets with a link differ by a factor of s / (2 - s) at most (s the threshold, weights of a
-    shingle between 1/2 and 1), so a bucket falls into windows of two neighbouring classes of weight. Where one holds more components than LEADERS and one, those that
-    share a second band meet in the narrower buckets of both bands, again LEADERS with all others.
+    shingle between 1/2 and 1), so a bucket falls into windows of two neighbouring classes of weight. One of
+    FEW nodes at most gives all their pairs. In a larger one, LEADERS drawn anew each turn meet all others,
+    and those that share a second band meet in the narrower buckets of both bands, by the same rule.
     """
     class_ = F.floor(F.log("weight") / float(np.log((2 - similarity) / similarity)))
     own = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("window", class_)
-    own = own.unionByName(own.withColumn("window", F.col("window") + 1))
-    parts_ = own.groupBy("band", "value", "window", "root").agg(F.min("node").alias("node"))
-    sizes = parts_.groupBy("band", "value", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts_ = written(parts_.join(sizes, ["band", "value", "window"]), "near-parts")
-    few = parts_.where(F.col("n") <= LEADERS + 1).select(F.xxhash64("band", "value", "window").alias("bucket"), "node")
-    many = parts_.where(F.col("n") > LEADERS + 1).select("node", "band", "value", "window")
+    own = own.unionByName(own.withColumn("window", F.col("window") + 1)).withColumn("bucket", F.xxhash64("band", "value", "window"))
+    own = written(_mixed(own.select("bucket", "node", "root", "band")), "near-own")
+    many = own.where(F.col("n") > FEW).select("node", "root", "bucket", "band")
     two = many.join(met.select("node", F.col("band").alias("band2"), F.col("value").alias("value2")), "node").where("band < band2")
-    two = two.select(F.xxhash64("band", "value", "window", "band2", "value2").alias("bucket"), "node")
-    ranked = few.unionByName(two).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-    lead = ranked.where(F.col("rank") <= LEADERS).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("leaders")).where(F.size("leaders") > 1)
-    later = ranked.where("rank > 1").join(lead, "bucket")
-    return _ordered(later.select(F.col("node").alias("x"), F.explode(F.slice("leaders", 1, F.least(F.col("rank") - 1, F.lit(LEADERS)))).alias("y")))
+    two = _mixed(two.select(F.xxhash64("bucket", "band2", "value2").alias("bucket"), "node", "root", "band"))
+    place = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+    ranked = own.unionByName(two).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(place)))
+    lead = ranked.where((F.col("rank") <= LEADERS) | (F.col("n") <= FEW)).groupBy("bucket").agg(F.collect_list(F.struct("rank", "node", "root")).alias("leaders"))
+    met_by = F.filter("leaders", lambda x: (x["rank"] < F.col("rank")) & (x["root"] != F.col("root")))
+    return _ordered(ranked.join(lead, "bucket").select(F.col("node").alias("x"), F.explode(met_by).alias("y")).select("x", F.col("y.node").alias("y")))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of buckets with more than one component, and how many nodes each has."""
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(sizes.where("low != high").select("bucket", "n"), "bucket")
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
