@@ -22,9 +22,10 @@ from sluice.llm.shingles import Weights, mix, parts, shingles, weighted_jaccard
 
 BANDS, SAMPLES = 8, 3
 SIMILARITY = 0.8
-#: Nodes of a bucket that are compared in all pairs at most, and those that, drawn anew each turn, are compared
-#: with all others where there are more.
-FEW, LEADERS = 12, 4
+#: Nodes of a bucket that are compared in all pairs at most; those that, drawn anew each turn, are compared with
+#: all others where there are more; and turns. More turns find the last links of large groups whose texts are
+#: only just alike, at the cost of as many pairs again (README.md has figures).
+FEW, LEADERS, TURNS = 12, 4, 1
 _SLICES = 64
 _COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())])
@@ -195,14 +196,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = texts_of(docs, nodes.select("node", "id").join(met.select("node").distinct(), "node"))
     pairs = written(_ordered(met.select("node", F.explode(F.array("low", "high")).alias("y")).withColumnRenamed("node", "x")), "near-pairs")
     links = written(verified(texts, pairs, weights, similarity), "near-links")
-    roots, compared, turn = components(links), pairs, 0
-    while True:  # until no bucket has components left to compare, or comparing them joins none
-        pairs = written(_between(met, roots, similarity, turn).join(compared, ["a", "b"], "left_anti"), "near-pairs")
-        more = written(verified(texts, pairs, weights, similarity), "near-links")
-        if more.isEmpty():
-            break
-        compared, turn = compared.unionByName(pairs), turn + 1
-        roots = _joined(roots, more)
+    roots = components(links)
+    for turn in range(TURNS):
+        pairs = written(_between(met, roots, similarity, turn).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        roots = _joined(roots, written(verified(texts, pairs, weights, similarity), "near-links"))
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
     final = named.join(least, "root").select("node", "root", F.when(F.col("class_id") > -(1 << 63), F.col("class_id")).alias("class_id"))
