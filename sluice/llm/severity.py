@@ -107,10 +107,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     them. Without rows of both labels nothing is toxic.
     """
     picked = sorted((r["label"], r["doc_id"], r["text"]) for r in labelled_sample(docs, labels, label, sample_rows, by_label=True).collect())
-    counts = [occurrences(text) for *_, text in picked]
     y = np.array([label for label, *_ in picked], dtype=int)
     if len(np.unique(y)) < 2:
         return Severity(tuple(40.0 + k for k in range(GRADES)), {})
+    telling = _telling([text for *_, text in picked], y)
+    counts = [{f: n for f, n in occurrences(text).items() if f in telling} for *_, text in picked]
     chosen = _choose([set(c) for c in counts], y, features)
     at = {f: j for j, f in enumerate(chosen)}
     x = np.zeros((len(counts), len(chosen)))
@@ -129,6 +130,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     return Severity(model.theta, model.weights, float(cuts[min(range(len(cuts)), key=lambda i: errors[i])]))
 
 
+def _telling(texts: list[str], y: np.ndarray) -> set[str]:
+    """Features of enough toxic rows, and four times as frequent there. Only these are ever kept for each row."""
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    df1: Counter = Counter()
+    for text, label in zip(texts, y):
+        if label:
+            df1.update(occurrences(text).keys())
+    df1 = Counter({f: n for f, n in df1.items() if n >= max(3, n1 // 200)})
+    df0: Counter = Counter()
+    for text, label in zip(texts, y):
+        if not label:
+            df0.update(occurrences(text).keys() & df1.keys())
+    return {f for f, n in df1.items() if n / n1 > 4 * (df0[f] + 0.5) / n0}
+
+
 def _choose(sets: list[set], y: np.ndarray, most: int) -> list[str]:
     """Features one by one: the best log-odds evidence over rows that no earlier one explains, so that what
     merely stands beside a chosen feature isn't chosen; a stem before its longer forms."""
@@ -141,8 +157,6 @@ def _choose(sets: list[set], y: np.ndarray, most: int) -> list[str]:
                 where.setdefault(f, []).append(i)
         else:
             df0.update(s)
-    least = max(3, n1 // 200)
-    where = {f: ids for f, ids in where.items() if len(ids) >= least and len(ids) / n1 > 4 * (df0[f] + 0.5) / n0}
     chosen: list[str] = []
     seen = np.zeros(len(sets), dtype=int)
     while where and len(chosen) < most:
