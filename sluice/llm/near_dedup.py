@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 #: Nodes of a bucket that are compared in all pairs at most; those that, drawn anew each turn, are compared with
 #: all others where there are more; and turns. More turns find the last links of large groups whose texts are
 #: only just alike, at the cost of as many pairs again (README.md has figures).
-FEW, LEADERS, TURNS = 12, 4, 1
+FEW, LEADERS, TURNS = 12, 2, 1
 _SLICES = 64
 _COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())])
