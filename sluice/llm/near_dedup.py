@@ -1,9 +1,10 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Equal texts are one node from the start, so copies cost nothing further. Nodes that share a band of three
-samples are candidates: each with the bucket's least and greatest node (a star, not all pairs), and, where
-the star leaves a bucket in several components, the components' representatives with each other. Links are
-verified by the weighted Jaccard similarity of the whole texts, or the plain one; classes are the components.
+samples are candidates: each with the bucket's least and greatest node (a star, not all pairs), then, where
+the star leaves a bucket in several components, with drawn nodes, and at last every node with all of its bucket
+that are still in other components. Links are verified by the weighted Jaccard similarity of the whole texts, or
+the plain one; classes are the components.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from sluice.llm.shingles import Weights, mix, parts, shingles, weighted_jaccard
 
 BANDS, SAMPLES = 8, 3
 SIMILARITY = 0.8
-#: Nodes of a bucket that are compared in all pairs at most; those that, drawn anew each turn, are compared with
-#: all others where there are more; and turns. More turns find the last links of large groups whose texts are
-#: only just alike, at the cost of as many pairs again (README.md has figures).
+#: Nodes of a bucket of which all pairs are made at most; those that, drawn anew each turn, are compared with all
+#: others where there are more; and turns. Turns only join what is easily joined: the rest is compared in blocks.
 FEW, LEADERS, TURNS = 12, 2, 1
+#: Nodes of a block, and their weight (about as many words at most twice over), on average at most: two blocks are in memory at once.
+BLOCK, BLOCK_WEIGHT = 512, 500_000.0
 _SLICES = 64
 _COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())])
@@ -200,6 +202,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     for turn in range(TURNS):
         pairs = written(_between(met, roots, similarity, turn).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
         roots = _joined(roots, written(verified(texts, pairs, weights, similarity), "near-links"))
+    roots = _joined(roots, written(_rest(met, roots, texts, weights, similarity), "near-links"))
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
     final = named.join(least, "root").select("node", "root", F.when(F.col("class_id") > -(1 << 63), F.col("class_id")).alias("class_id"))
@@ -225,10 +228,7 @@ def _between(met: DataFrame, roots: DataFrame, similarity: float, turn: int = 0)
     FEW nodes at most gives all their pairs. In a larger one, LEADERS drawn anew each turn meet all others,
     and those that share a second band meet in the narrower buckets of both bands, by the same rule.
     """
-    class_ = F.floor(F.log("weight") / float(np.log((2 - similarity) / similarity)))
-    own = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("window", class_)
-    own = own.unionByName(own.withColumn("window", F.col("window") + 1)).withColumn("bucket", F.xxhash64("band", "value", "window"))
-    own = written(_mixed(own.select("bucket", "node", "root", "band")), "near-own")
+    own = _windows(met, roots, similarity).select("bucket", "node", "root", "band", "n")
     many = own.where(F.col("n") > FEW).select("node", "root", "bucket", "band")
     two = many.join(met.select("node", F.col("band").alias("band2"), F.col("value").alias("value2")), "node").where("band < band2")
     two = _mixed(two.select(F.xxhash64("bucket", "band2", "value2").alias("bucket"), "node", "root", "band"))
@@ -239,6 +239,94 @@ def _between(met: DataFrame, roots: DataFrame, similarity: float, turn: int = 0)
     return _ordered(ranked.join(lead, "bucket").select(F.col("node").alias("x"), F.explode(met_by).alias("y")).select("x", F.col("y.node").alias("y")))
 
 
+def _windows(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Nodes by bucket and window of weight, where more than one component is; home: in the upper class of the window's two."""
+    class_ = F.floor(F.log("weight") / float(np.log((2 - similarity) / similarity)))
+    own = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("window", class_).withColumn("home", F.lit(True))
+    own = own.unionByName(own.withColumn("window", F.col("window") + 1).withColumn("home", F.lit(False))).withColumn("bucket", F.xxhash64("band", "value", "window"))
+    return written(_mixed(own.select("bucket", "node", "root", "band", "weight", "home")), "near-own")
+
+
+def _rest(met: DataFrame, roots: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+    """Links that join what is still apart: every pair of nodes that share a crowded bucket but no component is compared.
+
+    A bucket's largest component and its other nodes are dealt to blocks by a hash of the node; each block of
+    others meets each block of both, a pair of blocks in one task. The nodes of the largest component don't meet
+    each other, so a bucket of one component and a few others costs no more than its size for each block of others.
+    """
+    own = _windows(met, roots, similarity).where(F.col("n") > FEW)
+    sizes = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.bool_or("home").alias("home"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bool_or("home").alias("home")).where("home")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WEIGHT), F.lit(1)).cast("int")
+    sizes = sizes.select("bucket", F.col("most.root").alias("largest"), blocks(F.col("most.n"), F.col("most.w")).alias("of_largest"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("of_others"))
+    dealt = own.select("bucket", "node", "root", "home").join(sizes, "bucket").withColumn("large", F.col("root") == F.col("largest"))
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("large"), F.col("of_largest")).otherwise(F.col("of_others"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    place = lambda large, i, j: F.struct(large.alias("large"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    met_large = F.transform(upto("of_largest"), lambda j: place(F.lit(True), F.col("block"), j))
+    met_other = F.transform(upto("of_others"), lambda j: place(F.lit(False), F.least(j, "block"), F.greatest(j, "block")))
+    met_by = F.transform(upto("of_others"), lambda i: place(F.lit(True), i, F.col("block")))
+    at = F.explode(F.when(F.col("large"), met_by).otherwise(F.concat(met_large, met_other)))
+    pieces = dealt.select("bucket", "node", "root", "home", F.when(F.col("large"), -1).otherwise(F.col("block")).alias("part"), at.alias("at"))
+    pieces = pieces.select("bucket", "at.large", "at.i", "at.j", "node", "root", "home", "part")
+
+    def compare(group: pa.Table) -> pa.Table:
+        large, i = group["large"][0].as_py(), group["i"][0].as_py()
+        part = group["part"].to_numpy()
+        seeks = part == i
+        sought = part == -1 if large else part == group["j"][0].as_py()
+        out = _links(group["node"].to_pylist(), group["root"].to_pylist(), group["text"].to_pylist(), group["home"].to_numpy(), seeks, sought, weights.value, similarity)
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 4, _LINKS)], schema=_LINKS)
+
+    return pieces.join(texts, "node").groupBy("bucket", "large", "i", "j").applyInArrow(compare, from_arrow_schema(_LINKS))
+
+
+def _links(names: list[str], roots: list[str], texts: list[str], home: np.ndarray, seeks: np.ndarray, sought: np.ndarray, weights: Weights, similarity: float) -> list[tuple]:
+    """Links (a, b, similarity, plain) between nodes of which one seeks, one is sought and one is home, as many as
+    join all components that any such link joins. Sums over an index of the shingles tell which pairs to verify."""
+    found = []
+    for _, run in parts(texts):
+        hashes, times, counts = shingles(run)
+        found.append((hashes, weights.of(hashes, times), counts))
+    hashes, w, counts = (np.concatenate(c) for c in zip(*found))
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    sums = np.concatenate([[0.0], np.cumsum(w, dtype=np.float64)])
+    totals = sums[ends] - sums[starts]
+    owner = np.repeat(np.arange(len(names)), counts)
+    kept = np.flatnonzero(sought[owner])
+    kept = kept[np.argsort(hashes[kept], kind="stable")]
+    index, owners, index_w = hashes[kept], owner[kept], w[kept]
+    component = np.unique(roots, return_inverse=True)[1].tolist()
+    group = list(range(max(component) + 1))
+
+    def top(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    out = []
+    for x in np.flatnonzero(seeks).tolist():
+        own, own_w = hashes[starts[x] : ends[x]], w[starts[x] : ends[x]]
+        low = np.searchsorted(index, own)
+        many = np.searchsorted(index, own, side="right") - low
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(owners[at], minlength=len(names))
+        shared = np.bincount(owners[at], np.minimum(index_w[at], np.repeat(own_w, many)), len(names))
+        near = (shared >= (similarity - 1e-4) * (totals + totals[x] - shared)) | (common >= (similarity - 1e-4) * (counts + counts[x] - common))
+        near &= sought & (home | home[x]) & (common > 0)
+        for y in np.flatnonzero(near).tolist():
+            one, two = top(component[x]), top(component[y])
+            if one != two:
+                pair = [(hashes[starts[k] : ends[k]], w[starts[k] : ends[k]]) for k in (x, y)]
+                value, plain = weighted_jaccard(*pair), weighted_jaccard(*((h, np.ones(len(h), np.float32)) for h, _ in pair))
+                if max(value, plain) >= similarity:
+                    group[max(one, two)] = min(one, two)
+                    out.append((*sorted((names[x], names[y])), value, plain))
+    return out
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of buckets with more than one component, and how many nodes each has."""
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))

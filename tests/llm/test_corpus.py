@@ -113,6 +113,33 @@ def test_crowded_buckets_are_settled(spark):
     assert {tuple(r) for r in near_dedup._between(small, roots, 0.8).collect()} == {p for p in inside if p[1] < "n010"}
 
 
+def chain(n, rng):
+    """Each text has two words of the one before changed, in its last 80 of 200: neighbours are just alike, all share most bands."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    words, texts = [word() for _ in range(200)], []
+    for _ in range(n):
+        for k in rng.sample(range(120, 200), 2):
+            words[k] = word()
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_the_rest_of_crowded_buckets_is_compared(spark, monkeypatch, block):
+    """Every pair of a crowded bucket that no drawn node joins, within and between blocks; two components to start with."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    texts = chain(60, random.Random(4))
+    nodes = [(f"n{k:03}", t) for k, t in enumerate(texts)]
+    weights = spark.sparkContext.broadcast(near_dedup.frequencies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    met = spark.createDataFrame([(n, 0, 7, 100.0 + 45 * (k % 2)) for k, (n, _) in enumerate(nodes)], "node string, band int, value long, weight double")
+    roots = spark.createDataFrame([(n, "n000") for n, _ in nodes[:30]], "node string, root string")
+    links = near_dedup._rest(met, roots, spark.createDataFrame(nodes, "node string, text string"), weights, 0.8)
+    got = written(links, "links").collect()
+    assert all(max(r["similarity"], r["plain"]) >= 0.8 and r["a"] < r["b"] for r in got)
+    after = {r["node"]: r["root"] for r in near_dedup._joined(roots, written(links, "links")).collect()}
+    assert after == {n: "n000" for n, _ in nodes} and set(components(texts)) == {0}
+
+
 def test_frequencies_cover_all_documents(spark):
     docs = spark.createDataFrame([(i, f"common words in every text here {i} {i * 7} {i * 11} {i * 13} end") for i in range(500)], "doc_id long, text string")
     weights = near_dedup.frequencies(docs)
