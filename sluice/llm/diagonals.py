@@ -44,6 +44,21 @@ TEMPLATES = (
     Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     Template("public-domain", "this is free and unencumbered software released into the public domain"),
 )
+#: The forms in which a single line states a license; those of four words need all of them.
+STATEMENTS = (
+    Template("apache", "under the apache license"),
+    Template("apache", "under the apache 2 0 license"),
+    Template("bsd", "under the bsd license"),
+    Template("bsd", "under the bsd 2 clause license"),
+    Template("bsd", "under the bsd 3 clause license"),
+    Template("cc-by", "licensed under cc by 4 0"),
+    Template("cc-by-sa", "licensed under cc by sa 4 0"),
+    Template("gpl", "under the gnu general public license"),
+    Template("isc", "under the isc license"),
+    Template("mit", "under the mit license"),
+    Template("mpl", "under the mozilla public license"),
+    Template("public-domain", "is released into the public domain"),
+)
 GRAM = {True: 2, False: 3}
 
 
@@ -72,7 +87,7 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     return frame.withColumn("hash", F.when(F.size("gram") == 2, pair).otherwise(triple))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES, slack: int = 4, gap: int = 8, share: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES + STATEMENTS, slack: int = 4, gap: int = 8, share: float = 0.6) -> DataFrame:
     """Spans: a row for each (row, doc_id, n_words, label, base, first, last, coverage), and one with null label
     for a text without any; row numbers docs' rows.
 

@@ -138,6 +138,20 @@ def test_templates_survive_small_changes(spark):
     assert [(s["first"], s["last"]) for s in spans] == [(500, 500 + len(mit.split()) - 1)]
 
 
+def test_single_lines_state_a_license(spark, documents):
+    lines = {
+        "Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "All rights reserved.": "reserved",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    }
+    more = {"Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa", "Distributed under the BSD 3-Clause License": "bsd", "Released under the MIT Press imprint": "", "Licensed under the terms of the museum": ""}
+    wanted = list((lines | more).items())
+    rows = diagonals.summary(diagonals.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(wanted)], "doc_id long, text string"))).collect()
+    assert [r["labels"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [x for _, x in wanted]
+    found = {r["doc_id"]: set(r["labels"].split(",")) for r in diagonals.summary(diagonals.scan(documents)).collect()}
+    held = [(r["doc_id"], x) for r in documents.collect() for line, x in lines.items() if line in r["text"].split("\n")]
+    assert held and all(found[k] >= set(x.split(",")) for k, x in held)
+
+
 # Secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
