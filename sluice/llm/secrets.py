@@ -1,11 +1,11 @@
 """Secret scans in DataFrame functions only: patterns, and a battery of randomness tests.
 
 Spans of three kinds come from patterns. The battery adds spans of kind "random": runs of at least 20
-symbols of an encoding (hex, base32, base64) of which the index of coincidence is too low for text. Its
+symbols of an encoding (hex, base32, base36 of one case, base64) of which the index of coincidence is too low for text. Its
 tests: chi-squared uniformity over the encoding's alphabet, against what text would give (that is the p
 value of a discovery), and over its classes of symbols; runs above and below the middle of the alphabet and
 within a class; serial correlation. None but the first may reject randomness. Discoveries are those that the Benjamini-Hochberg rule keeps within
-their length class, over all candidates of all documents.
+their length class, over all candidates of all documents whose encoding is inferred: no others are tested.
 """
 
 from __future__ import annotations
@@ -64,16 +64,17 @@ def _normal_below(z: Column) -> Column:
 
 
 def battery(match: Column) -> Column:
-    """-log10 of the p value that the match is text; 0 if its encoding isn't inferred or a test rejects randomness."""
+    """-log10 of the p value that the match is text; null if its encoding isn't inferred, 0 if a test rejects randomness."""
     body = F.rtrim(match, F.lit("="))
     hexa = body.rlike("^([0-9a-f]+|[0-9A-F]+)$") & body.rlike("[0-9]") & body.rlike("[a-fA-F]")
     base32 = body.rlike("^[A-Z2-7]+$") & body.rlike("[2-7]") & body.rlike("[A-Z]")
+    base36 = body.rlike("^([0-9a-z]+|[0-9A-Z]+)$") & body.rlike("[0-9]") & body.rlike("[a-zA-Z]") & ~hexa & ~base32
     base64 = body.rlike("[A-Z]") & body.rlike("[a-z]") & body.rlike("[0-9]")
-    size = F.when(hexa, 16).when(base32, 32).when(base64, 64).cast("double")
-    text_like = F.when(hexa, 0.10).when(base32, 0.066).when(base64, 0.060)
+    size = F.when(hexa, 16).when(base32, 32).when(base36, 36).when(base64, 64).cast("double")
+    text_like = F.when(hexa, 0.10).when(base32 | base36, 0.066).when(base64, 0.060)
     alphabet64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    alphabet = F.when(hexa, "0123456789abcdef").when(base32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").otherwise(alphabet64)
-    marks = F.split(F.translate(F.when(hexa, F.lower(body)).otherwise(body), "-_", "+/"), "")
+    alphabet = F.when(hexa, "0123456789abcdef").when(base32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").when(base36, "0123456789abcdefghijklmnopqrstuvwxyz").otherwise(alphabet64)
+    marks = F.split(F.translate(F.when(hexa | base36, F.lower(body)).otherwise(body), "-_", "+/"), "")
     n = F.length(body).cast("double")
     squares = F.aggregate(F.array_distinct(marks), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(marks, lambda x: x == c)).cast("double"), F.lit(2.0)))
     chi2 = size / n * squares - n
@@ -93,22 +94,24 @@ def battery(match: Column) -> Column:
     # Text stays within a class (capitals, small letters, digits, others) longer than even shares of the alphabet would.
     kinds = F.split(F.translate(F.translate(body, "-_", "+/"), alphabet64, "A" * 26 + "a" * 26 + "0" * 10 + "++"), "")
     changes = F.size(F.filter(F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds)), lambda a, b: a != b), lambda x: x))
-    change = 1 - (26**2 + 26**2 + 10**2 + 2**2) / 64**2
-    class_runs = F.when(base64, _normal_below((changes - change * (n - 1)) / F.sqrt((n - 1) * change * (1 - change)))).otherwise(1.0)
+    few_changes = lambda p: _normal_below((changes - p * (n - 1)) / F.sqrt((n - 1) * p * (1 - p)))
+    class_runs = F.when(base64, few_changes(1 - (26**2 + 26**2 + 10**2 + 2**2) / 64**2)).when(base36, few_changes(1 - (26**2 + 10**2) / 36**2)).otherwise(1.0)
     # Chi-squared over the classes, by Wilson and Hilferty's cube root.
     def surprise(symbol: str, share: float) -> Column:
         return F.pow(F.size(F.filter(kinds, lambda x: x == symbol)) - share * n, F.lit(2.0)) / (share * n)
 
     classes = surprise("A", 26 / 64) + surprise("a", 26 / 64) + surprise("0", 10 / 64) + surprise("+", 2 / 64)
     uneven = (F.pow(classes / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / (2 / 27) ** 0.5
-    class_shares = F.when(base64, _normal_below(-uneven)).otherwise(1.0)
+    digits = F.size(F.filter(kinds, lambda x: x == "0")) - 10 / 36 * n  # more or fewer than even shares give
+    uneven36 = (F.pow(digits * digits / (n * 10 / 36 * 26 / 36), F.lit(1 / 3)) - (1 - 2 / 9)) / (2 / 9) ** 0.5
+    class_shares = F.when(base64, _normal_below(-uneven)).when(base36, _normal_below(-uneven36)).otherwise(1.0)
     average = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
     around = F.transform(values, lambda v: v - average)
     spread = F.aggregate(around, F.lit(0.0), lambda a, v: a + v * v)
     lagged = F.aggregate(F.zip_with(F.slice(around, 1, F.size(around) - 1), F.slice(around, 2, F.size(around)), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     serial = F.when(spread > 0, 2 * _normal_below(-F.abs((lagged / spread + 1 / n) * F.sqrt(n)))).otherwise(0.0)
     evidence = F.least(-F.log10(F.greatest(p_text, F.lit(1e-16))), F.lit(MOST))
-    return F.when(size.isNotNull() & (runs >= REJECT) & (class_runs >= REJECT) & (class_shares >= REJECT) & (serial >= REJECT), evidence).otherwise(0.0)
+    return F.when(size.isNull(), F.lit(None)).when((runs >= REJECT) & (class_runs >= REJECT) & (class_shares >= REJECT) & (serial >= REJECT), evidence).otherwise(0.0)
 
 
 def _length_class(match: Column) -> Column:
@@ -129,7 +132,7 @@ def thresholds(docs: DataFrame) -> dict[int, int]:
 
     What is gathered is a table of length classes by bins, a few thousand counts at most however large docs is.
     """
-    tested = docs.select(F.explode(_tested(text_of())).alias("s")).groupBy("s.length_class", "s.bin").agg(F.count(F.lit(1)).alias("n"))
+    tested = docs.select(F.explode(_tested(text_of())).alias("s")).where("s.bin is not null").groupBy("s.length_class", "s.bin").agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("length_class").orderBy(F.col("bin").desc())
     ranked = tested.withColumn("k", F.sum("n").over(down)).withColumn("m", F.sum("n").over(Window.partitionBy("length_class")))
     found = ranked.where((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") * BIN) <= Q * F.col("k") / F.col("m")))
@@ -152,7 +155,7 @@ def find(docs: DataFrame, least: dict[int, int] | None = None) -> DataFrame:
     def discovered(s):
         enough = F.lit(False)
         for k, bin_ in least.items():
-            enough = enough | ((s["length_class"] == k) & (s["bin"] >= bin_))
+            enough = enough | ((s["length_class"] == k) & F.coalesce(s["bin"] >= bin_, F.lit(False)))
         return enough & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     added = plain(F.filter("_tested", discovered))

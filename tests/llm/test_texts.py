@@ -193,6 +193,24 @@ def test_the_battery_tells_keys_from_words(spark):
     assert len(flagged & set(range(40))) >= 36 and not flagged - set(range(40))
 
 
+def test_runs_that_are_not_tested_hide_no_key(spark):
+    """One key of 22 symbols among words without an encoding, and keys of small letters and digits, among words with a number."""
+    rng = np.random.default_rng(3)
+    words = ["abcdefghijklmnopqrst"[: 5 + k % 9] + "_and_many-words/" + "xyzuvw"[: k % 6] for k in range(200)]
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    small = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    drawn = lambda of, n: "".join(rng.choice(of, n))
+
+    def flagged(texts):
+        found = secrets.find(spark.createDataFrame([(k, f"see {x} there") for k, x in enumerate(texts)], "doc_id long, text string"))
+        return {r["doc_id"] for r in found.where(F.exists("_all", lambda s: s["kind"] == "random")).collect()}
+
+    assert flagged([drawn(alphabet, 22), *words]) == {0}
+    numbered = ["thisisalongwordofsmallletterswithanumberattheend2024", "documentationofthesystemandthemanual20240115", "chapter12oftheannualreportofthemunicipalcommittee"] * 6
+    found = flagged([*(drawn(small, 44) for _ in range(20)), *numbered, *words])
+    assert len(found) >= 18 and found <= set(range(20)) and not flagged([*numbered, *words])
+
+
 def test_redaction_masks_every_span_once(spark, odd, none):
     extra = spark.createDataFrame([(k, t, len(t), "kept") for k, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long, score string")
     for r in secrets.redact(extra).collect():
