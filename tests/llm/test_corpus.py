@@ -140,6 +140,17 @@ def test_the_rest_of_crowded_buckets_is_compared(spark, monkeypatch, block):
     assert after == {n: "n000" for n, _ in nodes} and set(components(texts)) == {0}
 
 
+def test_large_groups_barely_alike_are_those_of_all_pairs(spark):
+    """Texts of which all are nearly alike and two each are, in crowded buckets: classes against the links of all pairs."""
+    r = random.Random(6)
+    long = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    core, both = long(173), [long(22) for _ in range(300)]
+    texts = r.sample([" ".join([*core, *x, *long(5)]) for x in both * 2], 600)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert [got[i] for i in range(600)] == components(texts) and len(set(got.values())) == 300
+
+
 def test_frequencies_cover_all_documents(spark):
     docs = spark.createDataFrame([(i, f"common words in every text here {i} {i * 7} {i * 11} {i * 13} end") for i in range(500)], "doc_id long, text string")
     weights = near_dedup.frequencies(docs)
