@@ -29,7 +29,8 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 @dataclass(frozen=True)
 class Capacity:
-    """Of a sequence. attention 0: tokens^2, which no set of pieces within the tokens exceeds."""
+    """Of a sequence. attention bounds the sum of the pieces' squared lengths; 0 is tokens^2, which no set of pieces
+    within the tokens exceeds. A piece that alone exceeds a smaller bound has a sequence of its own."""
 
     tokens: int = 2048
     documents: int = 2048
@@ -44,7 +45,8 @@ class Capacity:
 def patterns(histogram: dict[int, int], capacity: Capacity) -> list[tuple[int, list[tuple[int, int]]]]:
     """(copies, [(length, how many in each copy), ...]) of all bins for the histogram {length: count}.
 
-    ValueError if a piece alone exceeds the capacity. Deterministic: ties go to the longer piece.
+    ValueError if a piece alone exceeds the tokens; one that alone exceeds the attention is a bin alone.
+    Deterministic: ties go to the longer piece.
     """
     full, weights = capacity.vector(), np.asarray(capacity.weights)
     lengths = np.array(sorted((n for n, c in histogram.items() if c > 0), reverse=True), dtype=np.int64)
@@ -52,7 +54,7 @@ def patterns(histogram: dict[int, int], capacity: Capacity) -> list[tuple[int, l
         return []
     left = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
     demand = np.stack([lengths, np.ones_like(lengths), lengths**2], axis=1) / full
-    if (demand > 1).any():
+    if (demand[:, :2] > 1).any():
         raise ValueError("a piece exceeds the capacity")
     out = []
     while len(lengths):
@@ -112,30 +114,37 @@ def pack(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity()) -> Da
     pieces of some 40 bytes. Only the histogram of lengths (at most as many rows as the capacity has
     tokens) goes to the driver, and only the patterns are broadcast.
     """
-    if capacity.attention and capacity.attention < capacity.tokens**2:
-        raise ValueError("a full piece must fit: attention is at least tokens^2")
-    if capacity.tokens < 1 or capacity.documents < 1:
+    if capacity.tokens < 1 or capacity.documents < 1 or capacity.attention < 0:
         raise ValueError("capacities are positive")
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, capacity.tokens).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots, sequence = [], 0
+    by_length: dict[int, list[tuple]] = {}
+    sequence = 0
     taken: dict[int, int] = {}
     for copies, bin_ in patterns(histogram, capacity):
         offset = 0
         for length, each in bin_:
-            slots.append((length, taken.get(length, 0), sequence, each, offset))
+            by_length.setdefault(length, []).append((taken.get(length, 0), sequence, each, offset))
             taken[length] = taken.get(length, 0) + copies * each
             offset += length * each
         sequence += copies
-    places = spark.createDataFrame(slots, "length long, slot_from long, first_sequence long, each long, slot_offset long")
-    places = places.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("slot_from", "first_sequence", "each", "slot_offset"))).alias("slots"))
+    places = spark.createDataFrame(list(by_length.items()), "length long, slots array<struct<slot_from:long,first_sequence:long,each:long,slot_offset:long>>")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("part", "length").orderBy("row")) - 1
     ranked = cut.withColumn("rank", rank).join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
-    slot = F.element_at(F.filter("slots", lambda s: s["slot_from"] <= F.col("rank")), -1)
+    steps = max(1, max((len(s) for s in by_length.values()), default=1) - 1).bit_length()
+
+    def halved(span, _):
+        mid = F.shiftright(span["low"] + span["high"] + 1, 1)
+        after = F.get("slots", mid)["slot_from"] <= F.col("rank")
+        return F.struct(F.when(after, mid).otherwise(span["low"]).alias("low"), F.when(after, span["high"]).otherwise(mid - 1).alias("high"))
+
+    # The last slot that begins at the rank or before it, by binary search in the class's slots.
+    whole = F.struct(F.lit(0).alias("low"), (F.size("slots") - 1).alias("high"))
+    slot = F.get("slots", F.aggregate(F.array(*[F.lit(0)] * steps), whole, halved, lambda span: span["low"]))
     placed = ranked.join(F.broadcast(places), "length").withColumn("slot", slot).withColumn("rank", F.col("rank") - F.col("slot.slot_from"))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

@@ -3,9 +3,8 @@
 A byte-level BPE splits a text into pre-tokens before it merges, and no pre-token holds white space after
 other characters. So a text may be cut wherever a space follows a character that is no white space, each
 piece encoded on its own, and the ids joined: the same ids as for the whole text. Pieces repeat: those seen
-are found by a 128-bit hash in arrays, many at a time, and only new ones go to the library. Texts with white
-space on either side of a space, or a space at the end, and tokenizers of another kind take the library's
-own way.
+are found by their own bytes, many at a time, and only new ones go to the library. Texts with white space on
+either side of a space, or a space at the end, and tokenizers of another kind take the library's own way.
 """
 
 from __future__ import annotations
@@ -20,10 +19,12 @@ _MARKS = ".,;:!?"
 _IS_MARK, _IS_WORD = np.zeros(256, bool), np.zeros(256, bool)
 _IS_MARK[[ord(m) for m in _MARKS]] = True
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = True
-#: Bytes of texts handled together, new pieces encoded as one text, and slots of the table as a power of
-#: two, of which six tenths are used at most: bounds on a worker's memory.
-STEP_BYTES, PIECES, SLOTS = 1 << 20, 4000, 21
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes of texts handled together, new pieces encoded as one text, slots of the table as a power of two, of
+#: which six tenths are used at most, and bytes of long pieces kept: bounds on a worker's memory.
+STEP_BYTES, PIECES, SLOTS, LONG_BYTES = 1 << 20, 4000, 21, 16 << 20
+#: Pieces of up to this many bytes are their own key, as three words; longer ones are looked up one by one.
+SHORT = 24
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -32,8 +33,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Keys:
+    """Short pieces by what they are: up to 24 bytes as three words, and a mark for length and opening. place is
+    only where the table looks first; whether a piece is there is decided by all four."""
+
+    def __init__(self, words: list[np.ndarray], mark: np.ndarray, place: np.ndarray | None = None):
+        self.words, self.mark = words, mark
+        if place is None:
+            place = mark.astype(np.uint64)
+            for w in words:
+                place = _mixed(place ^ w)
+        self.place = place
+
+    @classmethod
+    def of(cls, padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, opens: np.ndarray) -> Keys:
+        """Of padded[start : start + length], length at most 24; padded has 24 bytes more than any piece needs."""
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        words = [eight[starts + k] & _LOW_BYTES[np.clip(lengths - k, 0, 8)] for k in (0, 8, 16)]
+        return cls(words, (lengths * 2 + opens + 1).astype(np.uint8))
+
+    def __len__(self) -> int:
+        return len(self.mark)
+
+    def take(self, at: np.ndarray) -> Keys:
+        return Keys([w[at] for w in self.words], self.mark[at], self.place[at])
+
+
 class PieceTable:
-    """Ids by a piece's two hashes, with open addressing over arrays."""
+    """Ids by key, with open addressing over arrays. A mark of 0 is an empty slot."""
 
     def __init__(self, bits: int = SLOTS):
         self.bits, self.most = bits, (1 << bits) * 6 // 10
@@ -41,26 +68,28 @@ class PieceTable:
 
     def clear(self) -> None:
         size = 1 << self.bits
-        self.first, self.second = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.words, self.mark = [np.zeros(size, np.uint64) for _ in range(3)], np.zeros(size, np.uint8)
         self.start, self.length = np.zeros(size, np.int64), np.zeros(size, np.int32)
         self.pool, self.used, self.count = np.zeros(1 << 16, "<u4"), 0, 0
 
-    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The slot of each piece, -1 for those that aren't there."""
-        mask = np.int64((1 << self.bits) - 1)
-        slot, out = first.astype(np.int64) & mask, np.full(len(first), -1, np.int64)
-        todo = np.arange(len(first))
+    def find(self, keys: Keys) -> np.ndarray:
+        """The slot of each key, -1 for those that aren't there."""
+        mask = np.uint64((1 << self.bits) - 1)
+        slot, out = (keys.place & mask).astype(np.int64), np.full(len(keys), -1, np.int64)
+        todo = np.arange(len(keys))
         while len(todo):
             at = slot[todo]
-            there = self.first[at]
-            hit = (there == first[todo]) & (self.second[at] == second[todo])
+            mark = self.mark[at]
+            hit = mark == keys.mark[todo]
+            for own, there in zip(keys.words, self.words):
+                hit &= there[at] == own[todo]
             out[todo[hit]] = at[hit]
-            todo = todo[~hit & (there != 0)]
-            slot[todo] = (slot[todo] + 1) & mask
+            todo = todo[~hit & (mark != 0)]
+            slot[todo] = (slot[todo] + 1) & np.int64(mask)
         return out
 
-    def add(self, first: np.ndarray, second: np.ndarray, ids: list[bytes]) -> None:
-        """Pieces that aren't there yet, each once."""
+    def add(self, keys: Keys, ids: list[bytes]) -> None:
+        """Keys that aren't there yet, each once."""
         lengths = np.array([len(x) // 4 for x in ids], np.int64)
         starts = self.used + np.cumsum(lengths) - lengths
         total = self.used + int(lengths.sum())
@@ -68,17 +97,19 @@ class PieceTable:
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), "<u4")])
         self.pool[self.used : total] = np.frombuffer(b"".join(ids), "<u4")
         self.used, self.count = total, self.count + len(ids)
-        mask = np.int64((1 << self.bits) - 1)
-        slot, todo = first.astype(np.int64) & mask, np.arange(len(first))
+        mask = np.uint64((1 << self.bits) - 1)
+        slot, todo = (keys.place & mask).astype(np.int64), np.arange(len(keys))
         while len(todo):
-            free = todo[self.first[slot[todo]] == 0]
+            free = todo[self.mark[slot[todo]] == 0]
             free = free[np.unique(slot[free], return_index=True)[1]]
             at = slot[free]
-            self.first[at], self.second[at], self.start[at], self.length[at] = first[free], second[free], starts[free], lengths[free]
-            left = np.ones(len(first), bool)
+            for own, there in zip(keys.words, self.words):
+                there[at] = own[free]
+            self.mark[at], self.start[at], self.length[at] = keys.mark[free], starts[free], lengths[free]
+            left = np.ones(len(keys), bool)
             left[free] = False
             todo = todo[left[todo]]
-            slot[todo] = np.where(self.first[slot[todo]] != 0, (slot[todo] + 1) & mask, slot[todo])
+            slot[todo] = np.where(self.mark[slot[todo]] != 0, (slot[todo] + 1) & np.int64(mask), slot[todo])
 
 
 class TokenEncoder:
@@ -97,7 +128,8 @@ class TokenEncoder:
         self.line_end, self.line_end_raw = (line_end or [-1])[0], self._raw("\n")
         self.marks = {m: self._raw(m) for m in _MARKS} if self.cuts else {}
         self.table = PieceTable(bits)
-        self._powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _BASES]
+        self.long: dict[str, bytes] = {}
+        self.long_bytes = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -124,25 +156,6 @@ class TokenEncoder:
         if run:
             yield run
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of data[start:end] for each piece; opens: which of them begin a text."""
-        out = []
-        for k, base in enumerate(_BASES):
-            if len(self._powers[k][0]) <= len(data):
-                size = 1 << len(data).bit_length()
-                powers = [np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
-                for p in powers:
-                    p[0] = 1
-                    np.multiply.accumulate(p, out=p)
-                self._powers[k] = (powers[0], powers[1])
-            up, down = self._powers[k]
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-            shape = _mixed(((ends - starts) * 2 + opens + 1).astype(np.uint64) * np.uint64(base))
-            out.append(_mixed((sums[ends] - sums[starts]) * down[starts] + shape))
-        out[0] = np.maximum(out[0], np.uint64(1))  # 0 marks an empty slot
-        return out
-
     def _encode(self, raws: list[bytes]) -> list[bytes]:
         data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
         text_starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
@@ -163,29 +176,48 @@ class TokenEncoder:
         if self.table.count + len(ends) > self.table.most:
             self.table.clear()
         firsts = np.searchsorted(starts, text_starts)
-        hashes = self._hashes(data, starts, ends, opens)
-        slots = self.table.find(*hashes)
+        size = ends - starts
+        short = np.flatnonzero(size <= SHORT)
+        keys = Keys.of(np.concatenate([data, np.zeros(SHORT + 8, np.uint8)]), starts[short], size[short], opens[short])
+        slots = self.table.find(keys)
         own_way: set[int] = set()
         missing = np.flatnonzero(slots < 0)
+        piece = lambda k: (" " if opens[k] else "") + data[starts[k] : ends[k]].tobytes().decode()
         if len(missing):
-            new = missing[np.unique(hashes[0][missing], return_index=True)[1]]
-            pieces = [(" " if o else "") + data[a:b].tobytes().decode() for a, b, o in zip(starts[new].tolist(), ends[new].tolist(), opens[new].tolist())]
-            plain = [k for k, p in enumerate(pieces) if p in (" ", " \n") or p and not p[-1].isspace() and (p[0] == " " or not p[0].isspace())]
-            learned: list[bytes] = []
-            for at in range(0, len(plain), PIECES):
-                learned += self._learn([pieces[k] for k in plain[at : at + PIECES]])
-            keep = new[plain]
-            self.table.add(hashes[0][keep], hashes[1][keep], learned)
-            slots[missing] = self.table.find(hashes[0][missing], hashes[1][missing])
-            # What is left is white space that a cut would part, or two pieces of one first hash.
-            own_way = set((np.searchsorted(firsts, np.flatnonzero(slots < 0), side="right") - 1).tolist())
-        lengths = np.where(slots < 0, 0, self.table.length[slots]).astype(np.int64)
+            new = missing[np.unique(keys.place[missing], return_index=True)[1]]
+            pieces = [piece(k) for k in short[new].tolist()]
+            plain = [k for k, p in enumerate(pieces) if _may_stand_alone(p)]
+            self.table.add(keys.take(new[plain]), self._learned([pieces[k] for k in plain]))
+            slots[missing] = self.table.find(keys.take(missing))
+            # What is left is white space that a cut would part, or two pieces of one place.
+            own_way.update((np.searchsorted(firsts, short[slots < 0], side="right") - 1).tolist())
+        lengths, begin = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        lengths[short] = np.where(slots < 0, 0, self.table.length[slots])
+        begin[short] = self.table.start[slots]
+        long = {k: piece(k) for k in np.flatnonzero(size > SHORT).tolist()}
+        new_long = [p for p in dict.fromkeys(long.values()) if p not in self.long and _may_stand_alone(p)]
+        if self.long_bytes + sum(map(len, new_long)) > LONG_BYTES:
+            self.long, self.long_bytes = {}, 0
+            new_long = [p for p in dict.fromkeys(long.values()) if _may_stand_alone(p)]
+        self.long.update(zip(new_long, self._learned(new_long)))
+        self.long_bytes += sum(map(len, new_long))
+        for k, p in long.items():
+            if p in self.long:
+                lengths[k] = len(self.long[p]) // 4
+            else:
+                own_way.add(int(np.searchsorted(firsts, k, side="right")) - 1)
         upto = np.cumsum(lengths)
-        begin = self.table.start[slots]
-        ids = self.table.pool[np.repeat(begin - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)]
+        total = int(upto[-1]) if len(upto) else 0
+        ids = np.take(self.table.pool, np.repeat(begin - (upto - lengths), lengths) + np.arange(total), mode="clip")
+        for k, p in long.items():
+            if lengths[k]:
+                ids[upto[k] - lengths[k] : upto[k]] = np.frombuffer(self.long[p], "<u4")
         cut = np.concatenate([[0], upto])[firsts].tolist()
         return [self._raw(raws[k].decode()) if k in own_way else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(cut, cut[1:]))]
 
+    def _learned(self, new: list[str]) -> list[bytes]:
+        return [ids for at in range(0, len(new), PIECES) for ids in self._learn(new[at : at + PIECES])]
+
     def _learn(self, new: list[str]) -> list[bytes]:
         """The ids of pieces, all encoded as the lines of one text. " x" stands for x at the beginning of a text or
         line, x for x after a space. Lines within a piece and a final mark are pre-tokens of their own."""
@@ -225,6 +257,11 @@ class TokenEncoder:
         return [parts if isinstance(parts, bytes) else self.line_end_raw.join([lines[core] + tail for core, tail in parts]) for parts in made]
 
 
+def _may_stand_alone(piece: str) -> bool:
+    """Whether a cut parts no white space at the piece's ends."""
+    return piece in (" ", " \n") or bool(piece) and not piece[-1].isspace() and (piece[0] == " " or not piece[0].isspace())
+
+
 _ENCODERS: dict[str, TokenEncoder] = {}
 
 
