@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python: bounds a worker's memory when texts are very long.
@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one if all runs in this process
+    (as in tests), else an error: executors elsewhere couldn't read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -36,6 +39,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run that nothing needs once its result is written: `clear` deletes them from the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count:03}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """By Hadoop's file system, as the folder may be in any store."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -59,10 +82,13 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, by_label: bool = False) -> DataFrame:
-    """doc_id, text and label of at most `rows` labelled rows, spread by a hash of doc_id; by_label: half of label 0, half of 1.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, values: list[Column], by_label: bool = False) -> DataFrame:
+    """doc_id, label and values (computed from docs) of at most `rows` labelled documents, spread by a hash of doc_id;
+    by_label: half of label 0, half of 1.
 
-    Only ids and labels are sorted and broadcast, at most `rows` of them; texts aren't shuffled.
+    Only ids and labels are sorted and broadcast, at most `rows` of them. Of documents of one doc_id the one of
+    the least values counts, so rows of docs that repeat an id don't make the sample larger; what is shuffled
+    are the values of sampled rows.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -70,4 +96,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, b
         sample = known.where("label = 0").orderBy(*order).limit(rows // 2).unionByName(known.where("label = 1").orderBy(*order).limit(rows // 2))
     else:
         sample = known.orderBy(*order).limit(rows)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    met = docs.select("doc_id", F.struct(*values).alias("_values")).join(F.broadcast(sample), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min("_values").alias("_values")).select("doc_id", "label", "_values.*")

@@ -21,8 +21,12 @@ SAMPLE_ROWS = 20_000
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text by built-in functions, all 0 for an empty one."""
-    words = F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1)).cast("double")
+    """Statistics of a whole text by built-in functions, all 0 for an empty one.
+
+    Every pattern takes linear time: it begins only where a word does, or looks at a fixed number of characters,
+    and never gives back what it has matched.
+    """
+    words = F.greatest(F.regexp_count(text, F.lit(r"\S++")), F.lit(1)).cast("double")
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
     lines = F.array_remove(F.split(text, "\n"), "")
     n_lines = F.greatest(F.size(lines), F.lit(1)).cast("double")
@@ -31,14 +35,16 @@ def statistics(text: Column) -> dict[str, Column]:
         "log_chars": F.log1p(F.length(text).cast("double")),
         "chars_per_word": F.length(text) / words,
         "capital_share": share(r"\p{Lu}", chars),
-        "capital_words": share(r"(?<!\S)\P{Ll}*\p{Lu}{2}\P{Ll}*(?!\S)", words),
+        # words with two capitals in a row and no small letter
+        "capital_words": share(r"(?<!\S)(?:(?!\p{Lu}{2})[^\p{Ll}\s])*+\p{Lu}{2}[^\p{Ll}\s]*+(?!\S)", words),
         "digit_share": share(r"\d", chars),
         "symbol_share": share(r"[^\p{L}\p{N}\s.,;:'\"()?!-]", chars),
-        "symbol_runs": share(r"([^\p{L}\p{N}\s])\1+(?!\S)", words),
-        "alone_symbols": share(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)", words),
+        # words that end in a symbol twice
+        "symbol_runs": share(r"([^\p{L}\p{N}\s])\1(?!\S)", words),
+        "alone_symbols": share(r"(?<!\S)[^\p{L}\p{N}\s]++(?!\S)", words),
         "exclaims": share("!", words),
         "stops": share(r"[.?](?=\s|$)", words),
-        "repeated_words": share(r"(?<!\S)(\S+)\s(?=\1(?!\S))", words),
+        "repeated_words": share(r"(?<!\S)(\S++)\s(?=\1(?!\S))", words),
         "line_repeats": F.lit(1.0) - F.greatest(F.size(F.array_distinct(lines)), F.lit(1)) / n_lines,
         "words_per_line": words / n_lines,
     }
@@ -61,7 +67,7 @@ class Rule:
         return np.logical_and.reduce([x[n] > t if above else x[n] <= t for n, above, t in self.terms])
 
 
-def _tree(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, rows: np.ndarray, depth: int, cuts: list[np.ndarray], path: tuple, out: list[tuple], leaves: list[tuple]) -> None:
+def _tree(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, rows: np.ndarray, depth: int, cuts: list[np.ndarray], path: tuple, out: list[tuple]) -> None:
     """Greedy splits by Newton gain over the candidate thresholds; out gets the path of every node."""
     total = gradient[rows].sum(), hessian[rows].sum()
     best = (1e-6, None, None)
@@ -79,14 +85,13 @@ def _tree(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, rows: np.nda
             if gain[k] > best[0]:
                 best = (gain[k], j, float(thresholds[k]))
     if best[1] is None:
-        leaves.append((rows, -total[0] / (total[1] + 1)))
         return
     _, j, at = best
     above = x[rows, j] > at
     for side in (False, True):
         term = (*path, (j, side, at))
         out.append(term)
-        _tree(x, gradient, hessian, rows[above == side], depth - 1, cuts, term, out, leaves)
+        _tree(x, gradient, hessian, rows[above == side], depth - 1, cuts, term, out)
 
 
 def extract_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth: int = 3, rate: float = 0.3, seed: int = 7) -> list[Rule]:
@@ -95,15 +100,12 @@ def extract_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 2
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
         paths: list[tuple] = []
-        leaves: list[tuple] = []
         rows = np.sort(rng.choice(len(y), max(1, len(y) // 2), replace=False))
-        _tree(x, p - y, p * (1 - p), rows, depth, cuts, (), paths, leaves)
+        _tree(x, p - y, p * (1 - p), rows, depth, cuts, (), paths)
         for path in paths:
             found.setdefault(Rule(tuple((names[j], s, t) for j, s, t in path)))
-        at = {}
         for path in [q for q in paths if not any(o[: len(q)] == q and len(o) > len(q) for o in paths)]:
             inside = np.logical_and.reduce([(x[:, j] > t) == s for j, s, t in path])
-            at[path] = inside
             g, h = (p - y)[inside].sum(), (p * (1 - p))[inside].sum()
             score[inside] -= rate * g / (h + 1)
     return list(found)
@@ -138,15 +140,16 @@ class RuleEnsemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, penalty: float = 0.002) -> RuleEnsemble:
-    """Fits on at most sample_rows rows of docs (doc_id, text) that labels (doc_id, 0/1) marks, spread by a hash of doc_id.
+    """Fits on at most sample_rows documents of docs (doc_id, text) that labels (doc_id, 0/1) marks, spread by a hash of
+    doc_id; of rows of one doc_id one counts.
 
     Only statistics go to the driver, one row of a dozen numbers each. Rows without a label don't count;
     if all have one label, or there are none, the ensemble is that share alone without rules.
     """
     stats = statistics(text_of())
-    rows = labelled_sample(docs, labels, label, sample_rows)
-    rows = rows.select("doc_id", F.col("label").cast("double").alias("label"), *(c.cast("double").alias(n) for n, c in stats.items())).toPandas().sort_values(["doc_id", "label", *stats])
-    y, names = rows["label"].to_numpy(), list(stats)
+    rows = labelled_sample(docs, labels, label, sample_rows, [c.cast("double").alias(n) for n, c in stats.items()])
+    rows = rows.toPandas().sort_values(["doc_id", "label", *stats])
+    y, names = rows["label"].to_numpy().astype(float), list(stats)
     share = (y.sum() + 0.5) / (len(y) + 1)
     if len(np.unique(y)) < 2:
         return RuleEnsemble(math.log(share / (1 - share)), ())
@@ -167,7 +170,7 @@ def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     A null text counts as empty; all columns and rows stay as they are, whatever the columns' names (but for
     score and predicted, which are replaced). No shuffle, no Python.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), *(c.cast("double").alias(n) for n, c in statistics(text_of()).items()))
     scored = inner.select("_row", model.column().alias("score"))
     return scored.select("_row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

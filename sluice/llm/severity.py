@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from sluice.llm.common import labelled_sample, python_ready
+from sluice.llm.common import labelled_sample, python_ready, text_of, written
 
-#: Labelled rows that the model is fitted on at most, half of them toxic, and features with a weight at most.
-SAMPLE_ROWS, FEATURES = 4000, 300
+#: Labelled rows that the model is fitted on at most, half of them toxic; features the driver counts in them at most;
+#: and features with a weight at most.
+SAMPLE_ROWS, TELLING, FEATURES = 4000, 4000, 300
 PREFIXES = (4, 5, 6)
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -101,17 +102,19 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Severity:
-    """Fits on at most sample_rows rows of docs (doc_id, text) that labels (doc_id, 0/1) marks, half of each label, by a hash of doc_id.
+    """Fits on at most sample_rows documents of docs (doc_id, text) that labels (doc_id, 0/1) marks, half of each label, by a hash of doc_id.
 
     Labels have no grades, so toxic rows get 1..GRADES by thirds of how often features of the toxic stand in
-    them. Without rows of both labels nothing is toxic.
+    them. Without rows of both labels nothing is toxic. No text goes to the driver: features are counted where
+    the texts are, and what is gathered are TELLING features at most and their counts in the sampled rows.
     """
-    picked = sorted((r["label"], r["doc_id"], r["text"]) for r in labelled_sample(docs, labels, label, sample_rows, by_label=True).collect())
-    y = np.array([label for label, *_ in picked], dtype=int)
-    if len(np.unique(y)) < 2:
+    python_ready(docs.sparkSession)
+    sample = written(labelled_sample(docs, labels, label, sample_rows, [text_of().alias("text")], by_label=True), "toxicity-sample")
+    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
         return Severity(tuple(40.0 + k for k in range(GRADES)), {})
-    telling = _telling([text for *_, text in picked], y)
-    counts = [{f: n for f, n in occurrences(text).items() if f in telling} for *_, text in picked]
+    counts, y = _counted(sample, _telling(sample, n0, n1))
     chosen = _choose([set(c) for c in counts], y, features)
     at = {f: j for j, f in enumerate(chosen)}
     x = np.zeros((len(counts), len(chosen)))
@@ -130,19 +133,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     return Severity(model.theta, model.weights, float(cuts[min(range(len(cuts)), key=lambda i: errors[i])]))
 
 
-def _telling(texts: list[str], y: np.ndarray) -> set[str]:
-    """Features of enough toxic rows, and four times as frequent there. Only these are ever kept for each row."""
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    df1: Counter = Counter()
-    for text, label in zip(texts, y):
-        if label:
-            df1.update(occurrences(text).keys())
-    df1 = Counter({f: n for f, n in df1.items() if n >= max(3, n1 // 200)})
-    df0: Counter = Counter()
-    for text, label in zip(texts, y):
-        if not label:
-            df0.update(occurrences(text).keys() & df1.keys())
-    return {f for f, n in df1.items() if n / n1 > 4 * (df0[f] + 0.5) / n0}
+def _telling(sample: DataFrame, n0: int, n1: int) -> set[str]:
+    """Features of enough toxic rows, and four times as frequent there; of more than TELLING those of most toxic rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist()):
+                found = list(occurrences(text))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int64())], names=["feature", "label"])
+
+    found = sample.mapInArrow(each, "feature string, label long").groupBy("feature").agg(F.sum("label").alias("df1"), F.sum(1 - F.col("label")).alias("df0"))
+    enough = found.where((F.col("df1") >= max(3, n1 // 200)) & (F.col("df1") / n1 > 4 * (F.col("df0") + 0.5) / n0))
+    return {r["feature"] for r in enough.orderBy(F.col("df1").desc(), "feature").limit(TELLING).collect()}
+
+
+def _counted(sample: DataFrame, telling: set[str]) -> tuple[list[dict[str, int]], np.ndarray]:
+    """For each row, in order of label and doc_id, how often each telling feature stands in it; and the labels."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{f: n for f, n in occurrences(t).items() if f in telling} for t in batch["text"].to_pylist()]
+            columns = [batch["doc_id"], batch["label"], pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "features", "times"])
+
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(each, "doc_id long, label int, features array<string>, times array<long>").collect()
+    rows.sort(key=lambda r: (r["label"], r["doc_id"]))
+    return [dict(zip(r["features"], r["times"])) for r in rows], np.array([r["label"] for r in rows], dtype=int)
 
 
 def _choose(sets: list[set], y: np.ndarray, most: int) -> list[str]:
@@ -180,7 +196,7 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
     """
     python_ready(docs.sparkSession)
     added = ("severity", "grade", "score", "predicted")
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in added]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = [c.lower() for c in kept].index("text")
 

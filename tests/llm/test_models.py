@@ -1,5 +1,8 @@
 """Quality and toxicity: held-out accuracy, and what they do with little or odd input."""
 
+import time
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +41,47 @@ def test_rules_compile_to_what_they_hold_for(spark, documents, labels):
     assert np.allclose(got, 1 / (1 + np.exp(-total)))
 
 
+def plain_statistics(text):
+    """The counted statistics as plain Python reads them."""
+    words = text.split()
+    upper, lower = (lambda c: unicodedata.category(c) == "Lu"), (lambda c: unicodedata.category(c) == "Ll")
+    symbol = lambda c: unicodedata.category(c)[0] not in "LN" and not c.isspace()
+    return {
+        "capital_words": sum(any(upper(a) and upper(b) for a, b in zip(w, w[1:])) and not any(map(lower, w)) for w in words),
+        "symbol_runs": sum(len(w) > 1 and w[-1] == w[-2] and symbol(w[-1]) for w in words),
+        "alone_symbols": sum(all(map(symbol, w)) for w in words),
+        "repeated_words": sum(a == b for a, b in zip(words, words[1:])),
+    }
+
+
+def test_statistics_are_what_they_say(spark):
+    texts = ["THE end of ABC-1 aB Abc XY9 9XY", "a == b ===x =- -- !! (( x!! é!!", "so so so the the end", "ÄÖ ÄöÜ 中文 ÉÉ1 123 12", "", "A B CC D EEe"]
+    columns = [c.alias(n) for n, c in rule_ensemble.statistics(F.col("text")).items()]
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", *columns).collect():
+        n = max(1, len(r["text"].split()))
+        assert {k: round(r[k] * n) for k in plain_statistics("")} == plain_statistics(r["text"])
+
+
+def test_statistics_of_a_megabyte_take_seconds(spark):
+    """Numbers, text without small letters or spaces, ruled lines, one word, one letter: none may take quadratic time."""
+    size = 1 << 20
+    texts = ["123 " * (size // 4), "中文字" * (size // 3), "=" * size + "x", "= " * (size // 2), "A" * size, "a" * size, "AB" * (size // 2) + "c", "-=" * (size // 2) + " ", "x " * (size // 2), "\n" * size]
+    model = rule_ensemble.RuleEnsemble(0.0, tuple((rule_ensemble.Rule(((n, True, 0.1),)), 1.0) for n in rule_ensemble.statistics(F.lit(""))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    assert len(rule_ensemble.score(docs, model).collect()) == len(texts)
+    assert time.perf_counter() - began < 60
+
+
+def test_repeated_ids_are_one_sampled_row(spark, documents, labels):
+    from sluice.llm.common import labelled_sample
+
+    many = documents.unionByName(documents).unionByName(documents.withColumn("text", F.lit(None).cast("string")))
+    assert labelled_sample(many, labels, "quality", 50, [F.length("text").alias("n")]).count() <= 50
+    once, thrice = (severity.fit(d, labels, "toxic") for d in (documents, documents.unionByName(documents)))
+    assert once == thrice
+
+
 def test_lasso_finds_the_one_that_matters():
     rng = np.random.default_rng(2)
     z = rng.integers(0, 2, (2000, 12)).astype(float)
@@ -54,6 +98,16 @@ def test_toxicity_is_found(spark):
     assert {r["grade"] for r in toxic} >= {1, 2, 3} and all(0 <= r["severity"] <= severity.GRADES for r in rows)
 
 
+def test_toxicity_of_rows_held_out(spark):
+    folder = f"{DATA}/sf0.1"
+    docs, known = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = severity.fit(docs, known.where(~held_out), "toxic")
+    rows = severity.score(docs.join(known.where(held_out).select("doc_id", "toxic"), "doc_id"), model).collect()
+    toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert len(toxic) > 30 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.01
+
+
 def test_toxicity_of_odd_rows(documents, labels, odd, none):
     model = severity.fit(documents, labels, "toxic")
     out = severity.score(odd, model)
