@@ -2,8 +2,9 @@
 
 Rolling hashes of two and of three words of every text meet those of the templates; a hit of text position
 p on template position t votes for the diagonal p - t. All votes for one diagonal are one place where the
-template's words stand in order; neighbouring diagonals (some words put in or left out) merge into one
-span, which counts by the share of the template's grams found, each gram's words compared as words.
+template's words stand in order; where words were put in or left out, the template goes on on a neighbouring
+diagonal. So each diagonal with votes counts by the share of the template's grams found on it and on those
+near it, each gram's words compared as words, and the best of neighbours is a span.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ STATEMENTS = (
     Template("public-domain", "is released into the public domain"),
 )
 GRAM = {True: 2, False: 3}
+STRETCH = 4096
 
 
 def _lower_ascii(text):
@@ -87,14 +89,16 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     return frame.withColumn("hash", F.when(F.size("gram") == 2, pair).otherwise(triple))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES + STATEMENTS, slack: int = 4, gap: int = 8, share: float = 0.6) -> DataFrame:
-    """Spans: a row for each (row, doc_id, n_words, label, base, first, last, coverage), and one with null label
-    for a text without any; row numbers docs' rows.
+def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES + STATEMENTS, slack: int = 4, share: float = 0.6) -> DataFrame:
+    """Spans: a row for each (row, doc_id, n_words, label, base, first, last, coverage), and with null label where
+    there is none; row numbers docs' rows.
 
-    slack: diagonals at most so far apart merge if also at most gap words lie between them; share: of the
-    template's grams that a span needs (a base phrase needs all, on one diagonal). A null text is empty,
-    other columns aren't read, repeated rows stay apart, an empty table gives no rows. The templates are a
-    parameter and broadcast; only hits are shuffled.
+    slack: diagonals at most so far apart are neighbours. share: of the template's grams that a diagonal and its
+    neighbours must hold together to be a span (a base phrase needs all, on one diagonal). Of spans on
+    neighbouring diagonals the one of most grams counts, of equal ones that of the lower diagonal. A null text is
+    empty, other columns aren't read, repeated rows stay apart, an empty table gives no rows. The templates are a
+    parameter and broadcast; only hits are shuffled, and a very long text's are dealt out in stretches of
+    STRETCH diagonals, with the few next to each.
     """
     spark = docs.sparkSession
     grams = template_grams(spark, templates)
@@ -114,21 +118,26 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES
     exploded = exploded.select("row", "doc_id", "n_words", F.explode_outer(F.concat(hits(2), hits(3))).alias("hit"))
     exploded = exploded.select("row", "doc_id", "n_words", "hit.*")
     met = exploded.join(F.broadcast(grams), (exploded["hash"] == grams["hash"]) & (exploded["found"] == grams["gram"]), "left")
-    size = F.when(F.col("base"), 2).otherwise(3)
-    votes = met.groupBy("row", "doc_id", "n_words", "template", "label", "base", "of", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("found_at"), F.min("pos").alias("first"), F.max("pos").alias("last")
-    )
-    same = Window.partitionBy("row", "template").orderBy("first", "diagonal")
-    reach = F.max("last").over(same.rowsBetween(Window.unboundedPreceding, -1))
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(same)) > slack) | (F.col("first") - reach > gap) | F.col("base")
-    spans = votes.withColumn("opens", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("opens").over(same))
-    spans = spans.groupBy("row", "doc_id", "n_words", "template", "label", "base", "of", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found_at")))).alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
-    )
+    keys = ("row", "doc_id", "n_words", "template", "label", "base", "of", "stretch")
+    diagonal = (F.col("pos") - F.col("at")).cast("long")
+    votes = met.withColumn("diagonal", diagonal).withColumn("stretch", F.floor(F.col("diagonal") / STRETCH))
+    votes = votes.groupBy(*keys, "diagonal").agg(F.collect_set("at").alias("found_at"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    # A diagonal's own stretch, and the one that it is within reach of: twice slack, as neighbours' neighbours decide.
+    reach = F.sequence(F.floor((F.col("diagonal") - 2 * slack) / STRETCH), F.floor((F.col("diagonal") + 2 * slack) / STRETCH))
+    own = F.col("stretch")
+    dealt = votes.withColumn("home", own).withColumn("stretch", F.explode(F.when(F.coalesce("base", F.lit(True)), F.array(own)).otherwise(reach)))
+    near = Window.partitionBy("row", "template", "stretch").orderBy("diagonal").rangeBetween(-slack, slack)
+    alone = F.coalesce("base", F.lit(True))
+    found = F.when(alone, F.size("found_at")).otherwise(F.size(F.array_distinct(F.flatten(F.collect_list("found_at").over(near)))))
+    first, last = (F.when(alone, F.col(c)).otherwise(f(c).over(near)) for c, f in (("first", F.min), ("last", F.max)))
+    merged = dealt.select(*keys, "diagonal", "home", found.alias("n"), first.alias("first"), last.alias("last"))
+    best = F.max(F.struct(F.col("n"), (-F.col("diagonal")).alias("low"))).over(near)
+    merged = merged.withColumn("best", alone | (best["low"] == -F.col("diagonal"))).where("template is null or stretch = home")
     coverage = F.col("n") / F.col("of")
-    holds = F.col("template").isNotNull() & F.when(F.col("base"), F.col("n") == F.col("of")).otherwise(coverage >= share)
+    holds = F.col("template").isNotNull() & F.col("best") & F.when(F.col("base"), F.col("n") == F.col("of")).otherwise(coverage >= share)
     kept = lambda c: F.when(holds, c)
-    return spans.select(
+    size = F.when(F.col("base"), 2).otherwise(3)
+    return merged.select(
         "row", "doc_id", "n_words", kept(F.col("label")).alias("label"), kept(F.col("base")).alias("base"), kept(F.col("first").cast("long")).alias("first"),
         kept((F.col("last") + size - 1).cast("long")).alias("last"), F.when(F.col("template").isNotNull(), coverage).otherwise(0.0).alias("coverage"),
     )

@@ -1,6 +1,7 @@
 """Fingerprints, audio, licenses, secrets: each against a plain Python reading of the whole text."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -138,6 +139,66 @@ def test_templates_survive_small_changes(spark):
     assert [(s["first"], s["last"]) for s in spans] == [(500, 500 + len(mit.split()) - 1)]
 
 
+def plain_spans(text, slack=4, share=0.6):
+    """(label, first, last, coverage) of the method's spans, and the best coverage, read off the definition."""
+    words = WORD.findall(text.translate(str.maketrans(UPPER, UPPER.lower())))
+    spans, best = [], 0.0
+    for t in diagonals.PHRASES + diagonals.TEMPLATES + diagonals.STATEMENTS:
+        own, n = t.words.split(), diagonals.GRAM[t.base]
+        of, votes = len(own) - n + 1, {}
+        for at in range(of):
+            for p in range(len(words) - n + 1):
+                if words[p : p + n] == own[at : at + n]:
+                    votes.setdefault(p - at, []).append((at, p))
+        reach = 0 if t.base else slack
+        near = {d: [v for e in votes if abs(e - d) <= reach for v in votes[e]] for d in votes}
+        found = {d: len({at for at, _ in v}) for d, v in near.items()}
+        for d, n_found in found.items():
+            best = max(best, n_found / of)
+            if n_found >= (of if t.base else share * of) and all((found[e], -e) <= (n_found, -d) for e in found if abs(e - d) <= reach):
+                spans.append((t.label, min(p for _, p in near[d]), max(p for _, p in near[d]) + n - 1, n_found / of))
+    return sorted(spans), best
+
+
+def changed_licenses():
+    """Templates with words put in, left out and moved, also words of their own, one after another and in a very long text."""
+    r = random.Random(5)
+    texts = []
+    for t in diagonals.TEMPLATES:
+        words = t.words.split()
+        third = len(words) // 2
+        texts += [" ".join(words), " ".join([*words[:third], "three", "foreign", "words", *words[third:]])]
+        texts.append(" ".join([*words[:third], *words[2:5], *words[third:]]))  # three words of the notice itself
+        texts.append(" ".join([*words[:third], *words[third + 2 :]]))
+        texts.append(" ".join([*words[:3], *words, *words[-4:], *words, "x"] * 3))
+        for _ in range(4):
+            mixed = list(words)
+            for _ in range(r.randrange(1, 6)):
+                k = r.randrange(len(mixed))
+                mixed[k : k + r.randrange(3)] = r.sample(words, r.randrange(3))
+            texts.append(" ".join(mixed))
+    gpl = diagonals.TEMPLATES[6].words
+    texts.append(" ".join("x" * (k % 3 + 1) for k in range(4085)) + f" {gpl} " + "y " * 4070 + gpl + " z" * 20)
+    return texts
+
+
+def test_spans_are_those_of_the_definition(spark):
+    texts = changed_licenses()
+    rows = diagonals.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for k, text in enumerate(texts):
+        spans, best = plain_spans(text)
+        mine = [r for r in rows if r["doc_id"] == k]
+        assert sorted((r["label"], r["first"], r["last"], r["coverage"]) for r in mine if r["label"]) == spans
+        assert max(r["coverage"] for r in mine) == best
+
+
+def test_words_within_a_license_do_not_hide_it(spark):
+    mit = diagonals.TEMPLATES[8].words.split()
+    texts = [" ".join([*mit[:10], *inner, *mit[10:]]) for inner in (("one", "two", "three"), ("free", "of", "charge"), mit[3:6], ())]
+    rows = diagonals.summary(diagonals.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert [r["labels"] for r in rows] == ["mit"] * 4 and all(r["score"] > 0.85 for r in rows)
+
+
 def test_single_lines_state_a_license(spark, documents):
     lines = {
         "Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "All rights reserved.": "reserved",
