@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -250,7 +251,7 @@ def test_the_battery_tells_keys_from_words(spark):
     plain = ["TheQuickBrownFoxJumpsOverTheLazyDogAndThenSleeps2TimesMoreToday", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAaaaaaaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "thatisalonglowercasewordwithoutanydigitsinit", "https_long_path_of_words_and_more_words_2024_Index_Of_Pages_And_Words"] * 8
     rows = [(k, f"see {x} there") for k, x in enumerate(keys + plain)]
     found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string"))
-    flagged = {r["doc_id"] for r in found.where(F.exists("_all", lambda s: s["kind"] == "random")).collect()}
+    flagged = {r["doc_id"] for r in found.where(F.exists("all_spans", lambda s: s["kind"] == "random")).collect()}
     assert len(flagged & set(range(40))) >= 36 and not flagged - set(range(40))
 
 
@@ -264,7 +265,7 @@ def test_runs_that_are_not_tested_hide_no_key(spark):
 
     def flagged(texts):
         found = secrets.find(spark.createDataFrame([(k, f"see {x} there") for k, x in enumerate(texts)], "doc_id long, text string"))
-        return {r["doc_id"] for r in found.where(F.exists("_all", lambda s: s["kind"] == "random")).collect()}
+        return {r["doc_id"] for r in found.where(F.exists("all_spans", lambda s: s["kind"] == "random")).collect()}
 
     assert flagged([drawn(alphabet, 22), *words]) == {0}
     numbered = ["thisisalongwordofsmallletterswithanumberattheend2024", "documentationofthesystemandthemanual20240115", "chapter12oftheannualreportofthemunicipalcommittee"] * 6
@@ -287,8 +288,55 @@ def test_redaction_masks_every_span_once(spark, odd, none):
     assert secrets.redact(none).collect() == []
 
 
-@pytest.mark.parametrize("run", ["find"])
-def test_no_python_on_executors(documents, run):
-    plan = getattr(secrets, run)(documents, {})._jdf.queryExecution().executedPlan().toString()
-    scan = diagonals.summary(diagonals.scan(documents))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan + scan and "Arrow" not in plan + scan
+def test_columns_named_as_spans_stay(spark):
+    rows = [(1, "token=abcdef12 x", "mine", "b", "t", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, every string, base string, tested string, row string")
+    assert [tuple(r) for r in secrets.redact(docs).collect()] == [(1, "[SECRET] x", "mine", "b", "t", "r")]
+    found = secrets.find(docs.withColumn("ALL_SPANS", F.lit(1)))
+    assert found.columns == [*docs.columns, "base_spans", "all_spans"] and found.collect()[0]["every"] == "mine"
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 63, 64, 65, 130, 5000):
+        values = list(range(1, n + 1))
+        frame = spark.createDataFrame([(values,)], "v array<long>")
+        assert frame.select(secrets.sums_before(F.col("v"))).collect()[0][0] == [k * (k + 1) // 2 for k in range(n)]
+
+
+def test_very_long_texts_full_of_secrets(spark):
+    """Half a megabyte with a secret every 40 code points, spans over the borders of blocks, in bounded time."""
+    part = "é token=abcdef1234 and deadbeefdeadbeefdeadbeef0123\n"
+    texts = [part * 10_000, "x" * 4090 + " token=" + "a1" * 3000 + " y", "x" * 4095 + "deadbeef" * 3 + "é" * 9000 + "deadbeef" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for k, text in enumerate(texts):
+        wanted, at = [], 0
+        for a, _, _, b in base_spans(text):
+            if a >= at:
+                wanted += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert got[k] == "".join([*wanted, text[at:]])
+    assert time.perf_counter() - began < 60
+
+
+def test_discoveries_follow_benjamini_hochberg(spark):
+    """Which bins are discoveries, against the rule read off its definition, for each length class."""
+    r = random.Random(2)
+    bins = [(k, max(0, int(r.expovariate(0.05) - 10)) if r.random() < 0.9 else None) for k in (0, 0, 1, 2) for _ in range(r.randrange(20, 300))]
+    found = spark.createDataFrame([([(0, 3, "random", 20, b, k)],) for k, b in bins], "tested array<struct<start:long,rank:int,kind:string,end:long,bin:int,length_class:int>>")
+    wanted = {}
+    for k in {k for k, _ in bins}:
+        own = sorted((b for c, b in bins if c == k and b is not None), reverse=True)
+        holds = [b for b in own if b > 0 and 10 ** (-b * secrets.BIN) <= secrets.Q * sum(x >= b for x in own) / len(own)]
+        if holds:
+            wanted[k] = min(holds)
+    assert secrets.thresholds(found) == wanted and wanted
+
+
+def test_no_python_on_executors(spark, documents):
+    from sluice.llm.mixing import Mixture, mix
+
+    frames = [secrets.scanned(documents, documents.columns), secrets.digest(documents), secrets.redact(documents), diagonals.summary(diagonals.scan(documents)), mix(documents, Mixture(tree=("lang", "source")))]
+    plans = "".join(f._jdf.queryExecution().executedPlan().toString() for f in frames)
+    assert "Python" not in plans and "Arrow" not in plans
