@@ -1,7 +1,8 @@
 """Audio features of media columns: polyphase resampling, log-mel filterbanks, energy segments.
 
-Samples are 8-bit PCM in a WAV container. Features are tensors of a fixed shape (frames x bands), one for
-each window of time with its span, kept as an Arrow fixed-shape tensor array.
+Samples are 8-bit PCM in a WAV container, a binary column of a table. Features are computed from what that table
+gives back: tensors of a fixed shape (frames x bands), one for each window of time, and kept as a column of Arrow
+fixed-shape tensors with the windows' time spans beside them.
 """
 
 from __future__ import annotations
@@ -20,19 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from sluice.llm.common import python_ready, text_of
+from sluice.llm.common import python_ready, text_of, written
 
-RATE, TARGET_RATE = 16_000, 8_000
+RATE, TARGET_RATE = 16_000, 6_000
 BLOCK = 576
-FRAME, HOP, BANDS, FRAMES = 256, 128, 24, 64
+FRAME, HOP, BANDS, FRAMES = 256, 128, 24, 16
 TAPS = 24
 FLOOR = -10.0
 #: Decades of energy over the quietest tenth of the frames at which a segment begins, and those at which it ends.
 RISE, FALL = 0.30, 0.12
 
-MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, BANDS])
-FEATURES = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.float64())), ("ends", pa.list_(pa.float64())), ("segments", pa.list_(pa.list_(pa.float64()))), ("tensors", pa.binary())])
+MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+TENSOR = pa.fixed_shape_tensor(pa.float16(), [FRAMES, BANDS])
+#: What the Arrow stream of a row's features holds: a tensor for each window, and when it begins and ends.
+WINDOWS = pa.schema([("tensor", TENSOR), ("start", pa.float64()), ("end", pa.float64())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()), ("windows", pa.binary()), ("segments", pa.list_(pa.list_(pa.float64())))])
+DIGEST = pa.schema([*list(FEATURES)[:7], ("feature", pa.string())])
 
 
 def payload(text: str) -> bytes:
@@ -75,14 +79,11 @@ def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
         return x
     taps = _phases(up, down)
     n = -(-len(x) * up // down)
-    at = np.arange(n) * down
     windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, (TAPS // 2, TAPS)), TAPS)
-    if up == 1:
-        return windows[::down][:n] @ taps[0]
     out = np.empty(n, np.float32)
-    for phase in range(up):
-        mine = at % up == phase
-        out[mine] = windows[at[mine] // up] @ taps[phase]
+    for k in range(min(up, n)):  # outputs k, k + up, ... have one phase, their windows stand down apart
+        phase, first = k * down % up, k * down // up
+        out[k::up] = windows[first::down][: len(out[k::up])] @ taps[phase]
     return out
 
 
@@ -120,77 +121,93 @@ def segments(energy: np.ndarray, rise: float = RISE, fall: float = FALL) -> list
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
 
 
-def features(samples: bytes, rate: int) -> tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]]]:
-    """Tensors (windows x FRAMES x BANDS, the last filled up with the floor), their spans and the segments, in seconds."""
+def features(samples: bytes, rate: int) -> tuple[np.ndarray, int, list[tuple[float, float]], list[tuple[float, float]]]:
+    """Tensors (windows x FRAMES x BANDS, the last filled up with the floor), how many frames they hold, the windows'
+    spans and the segments, in seconds."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     mel, energy = log_mel(resample(x, rate, TARGET_RATE), TARGET_RATE)
     n = -(-len(mel) // FRAMES)
-    tensors = np.full((n * FRAMES, BANDS), FLOOR, np.float32)
+    tensors = np.full((n * FRAMES, BANDS), FLOOR, np.float16)
     tensors[: len(mel)] = mel
     hop = HOP / TARGET_RATE
     spans = [(i * FRAMES * hop, (min(len(mel), (i + 1) * FRAMES) - 1) * hop + FRAME / TARGET_RATE) for i in range(n)]
-    return tensors.reshape(n, FRAMES, BANDS), spans, [(a * hop, (b - 1) * hop + FRAME / TARGET_RATE) for a, b in segments(energy)]
+    return tensors.reshape(n, FRAMES, BANDS), len(mel), spans, [(a * hop, (b - 1) * hop + FRAME / TARGET_RATE) for a, b in segments(energy)]
 
 
-def tensor_bytes(tensors: np.ndarray) -> bytes:
-    """An Arrow IPC stream with one column of fixed-shape tensors."""
+def windows_bytes(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow IPC stream of WINDOWS, a row for each tensor."""
     array = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
     out = io.BytesIO()
-    with pa.ipc.new_stream(out, pa.schema([("tensor", array.type)])) as w:
-        w.write_batch(pa.record_batch([array], names=["tensor"]))
+    with pa.ipc.new_stream(out, WINDOWS) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([array, pa.array([a for a, _ in spans]), pa.array([b for _, b in spans])], schema=WINDOWS))
     return out.getvalue()
 
 
-def tensors_of(data: bytes) -> np.ndarray:
-    column = pa.ipc.open_stream(data).read_all()["tensor"].combine_chunks()
-    return (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column).to_numpy_ndarray()
+def windows_of(data: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The tensors and their spans."""
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return batch["tensor"].to_numpy_ndarray(), list(zip(batch["start"].to_pylist(), batch["end"].to_pylist()))
 
 
-def digest(tensors: np.ndarray, n_frames: int, parts: list[tuple[float, float]]) -> str:
-    """Mean band energies in hundredths, then number and length in milliseconds of the segments, then a checksum of the tensors in hundredths."""
-    flat = tensors.reshape(-1, BANDS)
-    mean = np.rint(100 * flat[:n_frames].mean(axis=0)).astype(int)
+def digest(tensors: np.ndarray, frames: int, spans: list[tuple[float, float]], parts: list[list[float]]) -> str:
+    """Mean band energies in hundredths; number and length in milliseconds of the segments; shape and end of the tensors,
+    and a checksum of them in hundredths."""
+    flat = tensors.reshape(-1, BANDS).astype(np.float32)
+    mean = np.rint(100 * flat[:frames].mean(axis=0)).astype(int)
     check = zlib.crc32(np.rint(100 * flat).astype("<i2").tobytes())
-    return f"mel:{','.join(map(str, mean))};segments:{len(parts)};active_ms:{sum(round(1000 * (b - a)) for a, b in parts)};tensors:{len(tensors)}x{FRAMES}x{BANDS};crc:{check:08x}"
+    active = sum(round(1000 * (b - a)) for a, b in parts)
+    return f"mel:{','.join(map(str, mean))};segments:{len(parts)};active_ms:{active};tensors:{len(tensors)}x{FRAMES}x{BANDS};end_ms:{round(1000 * spans[-1][1])};crc:{check:08x}"
 
 
-def media_features(docs: DataFrame) -> DataFrame:
-    """Tensors (Arrow IPC), window spans and segments of the audio that docs' texts become; a row for each row.
+def media_table(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media (WAV) for each row of docs, written to the shared folder and read again.
 
-    A null text is empty (one block of fill bytes), a null doc_id stays, equal texts give equal values,
-    other columns aren't read, an empty table gives no rows. One text at a time is held; nothing is shuffled.
+    A null text is empty (one block of fill bytes), a null doc_id stays, equal texts give equal values, other columns
+    aren't read, an empty table gives no rows. A batch of texts is held at a time; nothing is shuffled.
     """
 
-    def values(key, text: str) -> tuple:
-        tensors, spans, parts = features(*load(store(payload(text))))
-        return key, [a for a, _ in spans], [b for _, b in spans], [list(p) for p in parts], tensor_bytes(tensors)
+    def stored(batch: pa.RecordBatch):
+        for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            yield key, len(text.encode()), store(payload(text))
 
-    return _per_text(docs, values, FEATURES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return written(_by_batch(rows, stored, MEDIA), "media")
+
+
+def media_features(media: DataFrame) -> DataFrame:
+    """For each row of a media table what its bytes hold, and their features: windows (an Arrow stream of WINDOWS), the
+    number of frames and the segments; written to the shared folder and read again."""
+
+    def computed(batch: pa.RecordBatch):
+        for key, n, wav in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["media"].to_pylist()):
+            samples, rate = load(wav)
+            tensors, frames, spans, parts = features(samples, rate)
+            stored = len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(wav), hashlib.sha256(wav).hexdigest()
+            yield key, n, *stored, frames, windows_bytes(tensors, spans), [list(p) for p in parts]
+
+    return written(_by_batch(media, computed, FEATURES), "media-features")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """What was stored for each row, from the stored bytes read back, and a digest of its features."""
+    """What was stored for each row of docs, from the media table read back, and a digest of its features, from the table
+    of tensors read back."""
 
-    def values(key, text: str) -> tuple:
-        raw = len(text.encode())
-        media = store(payload(text))
-        back, rate = load(media)
-        tensors, _, parts = features(back, rate)
-        frames = 1 + max(0, -(-(-(-len(back) * TARGET_RATE // rate) - FRAME) // HOP))
-        return key, raw, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), digest(tensors, frames, parts)
+    def digested(batch: pa.RecordBatch):
+        for r in batch.to_pylist():
+            tensors, spans = windows_of(r["windows"])
+            yield *(r[f.name] for f in list(DIGEST)[:-1]), digest(tensors, r["frames"], spans, r["segments"])
 
-    return _per_text(docs, values, MEDIA)
+    return _by_batch(media_features(media_table(docs)), digested, DIGEST)
 
 
-def _per_text(docs: DataFrame, values, schema: pa.Schema) -> DataFrame:
-    python_ready(docs.sparkSession)
+def _by_batch(rows: DataFrame, values, schema: pa.Schema) -> DataFrame:
+    """values(batch) gives the rows of a few rows of a batch."""
+    python_ready(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                columns = list(zip(*map(values, part["doc_id"].to_pylist(), part["text"].to_pylist())))
+                columns = list(zip(*values(batch.slice(at, 64))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, from_arrow_schema(schema))

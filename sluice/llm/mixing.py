@@ -5,7 +5,7 @@ weights; a child that can't use its share (its tokens times the epochs allowed)
 siblings. As a parent is never given more than its children can use, a shortage reaches a cousin only
 through the parent's own share: siblings come before ancestors. A leaf's budget buys whole epochs and then
 the prefix of one more, in the order of a hash seeded by the epoch. The end of that prefix is found by
-radix: sums over 4096 ranges of the hash, again within the range where the budget ends, then by hash.
+radix: sums over 1024 ranges of the hash, again within the range where the budget ends, then by hash.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import text_of, written
 
+#: The hash's bits that tell its range, and those that tell the range within it.
+BITS = 10
 #: Leaves up to this many are broadcast; beyond, they are joined by shuffle.
 BROADCAST_LEAVES = 20_000
 
@@ -97,7 +99,7 @@ def cuts(sizes: DataFrame, leaves: DataFrame, mixture: Mixture) -> DataFrame:
     rows = sizes.join(small(ends), levels).where("_rest > 0").withColumn("_key", _key("_hash", mixture))
     found = plan.where("_rest > 0").select(*levels, "_rest")
     at = levels
-    for name, shift in (("_b1", 52), ("_b2", 40)):
+    for name, shift in (("_b1", 64 - BITS), ("_b2", 64 - 2 * BITS)):
         rows = rows.withColumn(name, F.shiftright("_key", shift))
         sums = rows.groupBy(*at, name).agg(F.sum("_n").alias("_n"))
         order = Window.partitionBy(*levels).orderBy(name)
@@ -109,21 +111,23 @@ def cuts(sizes: DataFrame, leaves: DataFrame, mixture: Mixture) -> DataFrame:
         rows = rows.join(small(found.select(*at)), at, "left_semi")
     exact = rows.groupBy(*at, "_key").agg(F.sum("_n").alias("_n")).join(small(found), at)
     exact = exact.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*levels).orderBy("_key")))
-    cut = exact.groupBy(*levels).agg(F.max(F.when(F.col("_upto") <= F.col("_rest"), F.col("_key"))).alias("_last"), (F.first("_b2") * F.lit(1 << 40)).alias("_low"))
+    cut = exact.groupBy(*levels).agg(F.max(F.when(F.col("_upto") <= F.col("_rest"), F.col("_key"))).alias("_last"), (F.first("_b2") * F.lit(1 << 64 - 2 * BITS)).alias("_low"))
     # Where not even the first row of the last range fits, the prefix ends before that range.
     cut = cut.select(*levels, F.coalesce(F.col("_last"), F.when(F.col("_low") > -(1 << 63), F.col("_low") - 1).otherwise(F.col("_low"))).alias("_cut"))
     return ends.select(*levels, "_epochs").join(cut, levels, "left")
 
 
-def mix(docs: DataFrame, mixture: Mixture = Mixture(), tokens=words_and_end) -> DataFrame:
-    """Rows of docs (doc_id, text and the columns of the tree) as often as they are chosen, with _epoch, from 0.
+def mix(docs: DataFrame, mixture: Mixture = Mixture(), tokens=words_and_end, epoch: str | None = "_epoch") -> DataFrame:
+    """Rows of docs (doc_id, text and the columns of the tree) as often as they are chosen, with a column epoch, from 0;
+    without one, all columns of docs stay and no other, where it is None.
 
     Null values of a tree's column are one node, a null text is empty, rows of equal doc_id and text are
     chosen together, a node of weight 0 gets nothing, an empty table gives no rows. No budget is exceeded;
-    each leaf falls short of its own by less than the next row. Columns whose names begin with "_" are kept.
+    each leaf falls short of its own by less than the next row. All columns are kept, whatever their names, but
+    that one of the name epoch is replaced.
     Texts are read twice and never shuffled; a table of hash and token count for each row is written.
     """
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if epoch is None or c.lower() != epoch.lower()])
     hash_ = F.xxhash64(F.col("doc_id").cast("string"), text_of())
     levels = [f"_{k}" for k in range(len(mixture.tree))]
     sizes = written(docs.select(*_leaf(mixture), hash_.alias("_hash"), tokens(text_of()).alias("_n")), "mixing-sizes")
@@ -134,4 +138,5 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture(), tokens=words_and_end) ->
     rows = docs.select(kept.alias("_row"), *_leaf(mixture), hash_.alias("_hash")).join(small(plan), levels)
     copies = F.col("_epochs") + F.coalesce(_key("_hash", mixture) <= F.col("_cut"), F.lit(False)).cast("long")
     rows = rows.withColumn("_copies", copies).where("_copies > 0")
-    return rows.select("_row", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias("_epoch")).select("_row.*", "_epoch")
+    rows = rows.select("_row", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias("_nth"))
+    return rows.select("_row.*", *([] if epoch is None else [F.col("_nth").alias(epoch)]))

@@ -236,6 +236,11 @@ def test_mixes_of_odd_rows(odd, none):
     mixture = Mixture(tree=("lang", "label"), share=2.0, max_epochs=2)
     assert mix(odd, mixture).count() == 2 * odd.count() and mix(none, mixture).collect() == []
     assert mix(odd, Mixture(tree=("lang",), share=0.0)).collect() == []
+    named = odd.withColumn("_epoch", mixing.F.lit("mine")).withColumn("_nth", mixing.F.lit(7)).withColumn("_row", mixing.F.lit(8))
+    out = mix(named, mixture)
+    assert out.columns == [*(c for c in named.columns if c != "_epoch"), "_epoch"] and out.where("_epoch not in (0, 1)").isEmpty()
+    whole = mix(named, mixture, epoch=None)
+    assert whole.columns == named.columns and whole.where("_epoch = 'mine' and _nth = 7").count() == 2 * odd.count()
 
 
 # The pipeline
