@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +78,18 @@ def python_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def leading(array: Column, most: int, holds: Callable[[Column], Column]) -> Column:
+    """How many of the first elements of a sorted array (of `most` at most) hold, by binary search."""
+    span = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+
+    def halved(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["low"] + at["high"], 1)
+        here = (mid < at["high"]) & F.coalesce(holds(F.get(array, mid)), F.lit(False))
+        return span(F.when(here, mid + 1).otherwise(at["low"]), F.when(here, at["high"]).otherwise(mid))
+
+    return F.aggregate(F.array_repeat(F.lit(0), F.lit(max(1, most.bit_length()))), span(F.lit(0), F.size(array)), halved, lambda at: at["low"])
+
+
 def text_of(column: str = "text"):
     """Null texts count as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from sluice.llm.common import python_ready, text_of, written
+from sluice.llm.common import leading, python_ready, text_of, written
 from sluice.llm.token_ids import END_ID, encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -135,16 +135,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity()) -> Da
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("part", "length").orderBy("row")) - 1
     ranked = cut.withColumn("rank", rank).join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
-    steps = max(1, max((len(s) for s in by_length.values()), default=1) - 1).bit_length()
-
-    def halved(span, _):
-        mid = F.shiftright(span["low"] + span["high"] + 1, 1)
-        after = F.get("slots", mid)["slot_from"] <= F.col("rank")
-        return F.struct(F.when(after, mid).otherwise(span["low"]).alias("low"), F.when(after, span["high"]).otherwise(mid - 1).alias("high"))
-
-    # The last slot that begins at the rank or before it, by binary search in the class's slots.
-    whole = F.struct(F.lit(0).alias("low"), (F.size("slots") - 1).alias("high"))
-    slot = F.get("slots", F.aggregate(F.array(*[F.lit(0)] * steps), whole, halved, lambda span: span["low"]))
+    most = max((len(s) for s in by_length.values()), default=1)
+    slot = F.get("slots", leading(F.col("slots"), most, lambda s: s["slot_from"] <= F.col("rank")) - 1)
     placed = ranked.join(F.broadcast(places), "length").withColumn("slot", slot).withColumn("rank", F.col("rank") - F.col("slot.slot_from"))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

@@ -10,6 +10,7 @@ is the code point count, the hash of the whole text and, for likeness, the least
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from sluice.llm.common import python_ready, text_of
+from sluice.llm.common import leading, python_ready, text_of
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
 WINDOW, BINS = 8, 128
+#: Keys sampled for each range of doc_ids.
+SAMPLED = 20
 _EMPTY = np.uint32(0xFFFFFFFF)
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_prefix_edited", pa.int64()), ("common_prefix_next", pa.int64())])
 
@@ -144,56 +147,72 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprint(text: str) -> str:
-    return _prints(text, None)[0]
-
-
-def _prints(text: str, following: str | None) -> tuple:
-    """The fingerprint; and of the edited text: fingerprint, text and prefix hash."""
-    h = PrefixHash(code_points(text))
-    n, last = h.n, h.n - WINDOW + 1
-    keep = n - n // 4
-    inside = max(0, min(last, keep - WINDOW + 1))
-    shared = _sketch(h, 0, inside) if following is not None else None
-    if n < WINDOW:
-        own = _short(h)
-    else:
-        own = _sketch(h, 0, last) if shared is None else np.minimum(shared, _sketch(h, inside, last))
-    print_ = _string(h, own)
-    if following is None:
-        return (print_,)
-    put = following[: n // 4]
-    edited = PrefixHash(code_points(put), h, keep)
-    last = edited.n - WINDOW + 1
-    sketch = _short(edited) if edited.n < WINDOW else np.minimum(shared, _sketch(edited, inside, last))
-    return print_, _string(edited, sketch), text[:keep] + put, h, edited
+    return _Text(text).print
+
+
+class _Text:
+    """A text's prefix hash and fingerprint, with the sketch of the windows that an edit of its last quarter leaves."""
+
+    def __init__(self, text: str):
+        self.text, self.h = text, PrefixHash(code_points(text))
+        last = self.h.n - WINDOW + 1
+        self.keep = self.h.n - self.h.n // 4
+        self.inside = max(0, min(last, self.keep - WINDOW + 1))
+        self.shared = _sketch(self.h, 0, self.inside)
+        self.print = _string(self.h, _short(self.h) if last < 1 else np.minimum(self.shared, _sketch(self.h, self.inside, last)))
+
+    def edited(self, following: str) -> tuple[str, str, PrefixHash]:
+        """The text with its last quarter replaced by the beginning of following, its fingerprint and prefix hash."""
+        put = following[: self.h.n - self.keep]
+        h = PrefixHash(code_points(put), self.h, self.keep)
+        sketch = _short(h) if h.n < WINDOW else np.minimum(self.shared, _sketch(h, self.inside, h.n - WINDOW + 1))
+        return self.text[: self.keep] + put, _string(h, sketch), h
+
+
+def _row(own: _Text, after: _Text) -> tuple:
+    text, print_, h = own.edited(after.text)
+    return (
+        own.h.n, hashlib.sha256(text.encode()).hexdigest(), own.print, print_, likeness(own.print, print_), likeness(own.print, after.print),
+        own.h.common_extension(0, h, 0), own.h.common_extension(0, after.h, 0),
+    )
+
+
+def _cuts(rows: DataFrame, key: list[str], parts: int) -> list[dict]:
+    """Keys that cut rows into about `parts` ranges of about as many rows, from a sample of SAMPLED a range; they tell
+    where rows are handled, not what comes out."""
+    n = rows.count()
+    found = sorted(tuple(r) for r in rows.select(*key).sample(min(1.0, SAMPLED * parts / max(n, 1)), 11).collect())
+    return [dict(zip(key, k)) for k in sorted({found[len(found) * i // parts] for i in range(1, parts)} if found else ())]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of docs (doc_id, text), of each text edited with the beginning of the next, and their likeness.
 
-    The next document is that of the next doc_id (rows of one doc_id by text), after the last the first;
-    a null doc_id comes first, a null text is empty, an empty text has likeness 1 only to an empty one,
-    other columns aren't read, an empty table gives no rows. The texts are shuffled once, to ranges of
-    doc_id; the first document of each range goes to the range before it too, so no window spans all rows.
+    The next document is that of the next doc_id (rows of one doc_id by a hash of the text, then the text), after the
+    last the first; a null doc_id comes first, a null text is empty, an empty text has likeness 1 only to an empty one,
+    other columns aren't read, an empty table gives no rows. The texts are shuffled once, to ranges of doc_id, hash
+    and number of the row, so that rows of one doc_id, or alike, may be in many ranges; the first document of each range
+    goes to the range before it too, so no window spans all rows.
     """
-    from pyspark.ml.feature import Bucketizer
-
     spark = docs.sparkSession
     python_ready(spark)
     lowest = -(1 << 63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(lowest).cast("long"))).withColumn("place", F.col("ord").cast("double"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select("place").stat.approxQuantile("place", [i / parts for i in range(1, parts)], 0.25 / parts)
-    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
-    rows = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(rows).drop("place").withColumn("range", F.col("range").cast("int"))
-    heads = rows.groupBy("range").agg(F.min("ord").alias("ord"))
-    order = Window.orderBy("range")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.monotonically_increasing_id().alias("nth"))
+    rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(lowest).cast("long"))).withColumn("tie", F.xxhash64("text"))
+    key = ["ord", "tie", "nth"]
+    cuts = _cuts(rows, key, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = F.from_json(F.lit(json.dumps(cuts)), "array<struct<ord:bigint,tie:bigint,nth:bigint>>")
+    rows = rows.withColumn("range", leading(bounds, len(cuts), lambda cut: cut <= F.struct(*key)))
+    heads = rows.groupBy("range").agg(F.min(F.struct(*key)).alias("head"))
+    order = Window.orderBy("range")  # over the ranges
     first = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("ord", F.coalesce(F.lag("range").over(order), F.max("range").over(first)).alias("also"))
-    copies = rows.join(F.broadcast(heads), "ord")  # one head for each of the ranges, whose number is that of the partitions
-    both = rows.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text", "ord", F.col("also").alias("range"), F.lit(True).alias("copy")))
-    both = both.repartitionById(len(splits) - 1, "range").sortWithinPartitions("copy", "ord", "text")
+    heads = heads.select("head.ord", "head.tie", F.coalesce(F.lag("range").over(order), F.max("range").over(first)).alias("also"))
+    heads = heads.groupBy("ord", "tie").agg(F.collect_list("also").alias("also"))
+    met = rows.join(F.broadcast(heads), ["ord", "tie"])  # as many heads at most as there are ranges
+    copies = met.groupBy("ord", "tie").agg(F.min("text").alias("text"), F.first("also").alias("also"))
+    copies = copies.select(F.lit(None).cast("long").alias("doc_id"), "text", "ord", "tie", F.explode("also").alias("range"), F.lit(True).alias("copy"))
+    both = rows.select("doc_id", "text", "ord", "tie", "range", F.lit(False).alias("copy")).unionByName(copies)
+    both = both.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("copy", "ord", "tie", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -201,20 +220,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for key, text, copy in zip(*(batch[k].to_pylist() for k in ("doc_id", "text", "copy"))):
-                if held and not done:
-                    rows.append((held[0], *_row(held[1], text)))
-                held, done = (key, text), done or copy
+                if not done:
+                    after = held[1] if held and held[1].text == text else _Text(text)
+                    if held:
+                        rows.append((held[0], *_row(held[1], after)))
+                    held, done = (key, after), bool(copy)
             columns = list(zip(*rows)) or [()] * len(FINGERPRINTS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FINGERPRINTS)], schema=FINGERPRINTS)
 
     return both.select("doc_id", "text", "copy").mapInArrow(compare, from_arrow_schema(FINGERPRINTS))
-
-
-def _row(text: str, following: str) -> tuple:
-    own, changed, edited, h, h_edited = _prints(text, following)
-    after = PrefixHash(code_points(following))
-    after_print = _string(after, _short(after) if after.n < WINDOW else _sketch(after, 0, after.n - WINDOW + 1))
-    return (
-        h.n, hashlib.sha256(edited.encode()).hexdigest(), own, changed, likeness(own, changed), likeness(own, after_print),
-        h.common_extension(0, h_edited, 0), h.common_extension(0, after, 0),
-    )

@@ -34,8 +34,10 @@ def test_prefix_hashes_answer_spans():
 
 
 def test_fingerprints_follow_the_next_document(documents, odd):
-    for docs in (documents, odd):
-        rows = by_id(docs.collect())
+    one_id = documents.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))).unionByName(documents.where("doc_id % 3 = 1"))
+    for docs in (documents, odd, one_id):
+        hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text")).collect()
+        rows = [(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["hash"], r["text"].encode()))]
         got = sorted((tuple(r) for r in prefix_hash.fingerprints(docs).collect()), key=lambda r: (-1 if r[0] is None else r[0], r[1], r[3]))
         wanted = []
         for (key, text), (_, after) in zip(rows, [*rows[1:], rows[0]]):
