@@ -14,20 +14,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from sluice.llm.common import python_ready, text_of, written
+from sluice.llm.common import Scratch, python_ready, text_of, written
 from sluice.llm.shingles import Weights, mix, parts, shingles, weighted_jaccard
 
 BANDS, SAMPLES = 8, 3
 SIMILARITY = 0.8
-#: Nodes of a bucket of which all pairs are made at most; those that, drawn anew each turn, are compared with all
-#: others where there are more; and turns. Turns only join what is easily joined: the rest is compared in blocks.
-FEW, LEADERS, TURNS = 12, 2, 1
+#: Nodes of a bucket of which all pairs are made at most. In larger ones two drawn nodes meet all others, which only
+#: joins what is easily joined: the rest is compared in blocks, every pair.
+FEW = 12
 #: Nodes of a block, and their weight (about as many words at most twice over), on average at most: two blocks are in memory at once.
 BLOCK, BLOCK_WEIGHT = 512, 500_000.0
+#: Nodes of a crowded bucket that one task leads to the drawn nodes, on average at most.
+SALT = 1024
 _SLICES = 64
 _COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())])
@@ -114,10 +116,10 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
     return rows.mapInArrow(sign, from_arrow_schema(_SIGNATURES))
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """node and text, one row for each of nodes (node, id), written: every round of verification reads it."""
     rows = docs.select(F.md5(text_of().cast("binary")).alias("node"), _id(F.col("doc_id").cast("long")).alias("id"), text_of().alias("text"))
-    return written(rows.join(nodes, ["node", "id"]).dropDuplicates(["node", "id"]).select("node", "text"), "near-texts")
+    return scratch.written(rows.join(nodes, ["node", "id"]).dropDuplicates(["node", "id"]).select("node", "text"), "near-texts")
 
 
 def verified(texts: DataFrame, pairs: DataFrame, weights, similarity: float) -> DataFrame:
@@ -159,20 +161,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the least node of its component), for the nodes of links (a, b).
 
     Each round gives every node the least root among itself, its neighbours and its root's root; a round
     writes its table, so lost executors cost no more than that round.
     """
     edges = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    edges = written(edges, "near-edges")
-    roots = written(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "near-roots")
+    edges = scratch.written(edges, "edges")
+    roots = scratch.written(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "roots")
     while True:
         around = edges.join(roots.select(F.col("node").alias("other"), F.col("root").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
         jump = roots.select(F.col("node").alias("root"), F.col("root").alias("far"))
         step = roots.join(around, "node", "left").join(jump, "root", "left")
-        after = written(step.select("node", "root", F.least("root", "near", "far").alias("new")), "near-roots")
+        after = scratch.written(step.select("node", "root", F.least("root", "near", "far").alias("new")), "roots")
         roots = after.select("node", F.col("new").alias("root"))
         if after.where("root != new").isEmpty():
             return roots
@@ -189,72 +191,79 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     python_ready(spark)
+    scratch = Scratch(spark)
     weights = spark.sparkContext.broadcast(frequencies(docs))  # two rows of 2^18 cells, whatever the size of docs
-    signed = written(signatures(docs, weights), "near-signatures")
-    nodes = written(signed.groupBy("node").agg(F.min(_id(F.col("doc_id"))).alias("id"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "near-nodes")
+    signed = scratch.written(signatures(docs, weights), "signatures")
+    nodes = scratch.written(signed.groupBy("node").agg(F.min(_id(F.col("doc_id"))).alias("id"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "nodes")
     members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "value"))
     ends = members.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    met = written(members.join(ends, ["band", "value"]), "near-buckets")
-    texts = texts_of(docs, nodes.select("node", "id").join(met.select("node").distinct(), "node"))
-    pairs = written(_ordered(met.select("node", F.explode(F.array("low", "high")).alias("y")).withColumnRenamed("node", "x")), "near-pairs")
-    links = written(verified(texts, pairs, weights, similarity), "near-links")
-    roots = components(links)
-    for turn in range(TURNS):
-        pairs = written(_between(met, roots, similarity, turn).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        roots = _joined(roots, written(verified(texts, pairs, weights, similarity), "near-links"))
-    roots = _joined(roots, written(_rest(met, roots, texts, weights, similarity), "near-links"))
+    met = scratch.written(members.join(ends, ["band", "value"]), "buckets")
+    texts = texts_of(docs, nodes.select("node", "id").join(met.select("node").distinct(), "node"), scratch)
+    pairs = scratch.written(_ordered(met.select("node", F.explode(F.array("low", "high")).alias("y")).withColumnRenamed("node", "x")), "pairs")
+    roots = components(scratch.written(verified(texts, pairs, weights, similarity), "links"), scratch)
+    more = _between(met, roots, similarity, scratch).join(pairs, ["a", "b"], "left_anti")
+    roots = _joined(roots, scratch.written(verified(texts, more, weights, similarity), "links"), scratch)
+    roots = _joined(roots, scratch.written(_rest(met, roots, texts, weights, similarity, scratch), "links"), scratch)
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
     final = named.join(least, "root").select("node", "root", F.when(F.col("class_id") > -(1 << 63), F.col("class_id")).alias("class_id"))
-    return signed.select("doc_id", "node").join(final, "node")
+    out = written(signed.select("doc_id", "node").join(final, "node"), "near-classes")
+    scratch.clear()
+    return out
 
 
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """roots after links between their components: only the components' graph is searched again."""
     one, two = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
     ends = links.select("a", "b").join(one, "a", "left").join(two, "b", "left")
     ends = ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
-    found = components(_ordered(ends)).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    found = components(_ordered(ends), scratch).select(F.col("node").alias("root"), F.col("root").alias("new"))
     moved = roots.join(found, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     added = found.select(F.col("root").alias("node"), F.col("new").alias("root")).join(roots, "node", "left_anti")
-    return written(moved.unionByName(added), "near-roots")
+    return scratch.written(moved.unionByName(added), "roots")
 
 
-def _between(met: DataFrame, roots: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
+def _between(met: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs of nodes that share a bucket but no component.
 
     Weights of sets with a link differ by a factor of s / (2 - s) at most (s the threshold, weights of a
     shingle between 1/2 and 1), so a bucket falls into windows of two neighbouring classes of weight. One of
-    FEW nodes at most gives all their pairs. In a larger one, LEADERS drawn anew each turn meet all others,
-    and those that share a second band meet in the narrower buckets of both bands, by the same rule.
+    FEW nodes at most gives all their pairs. In a larger one the nodes of the least and greatest hash meet all
+    others, and those that share a second band meet in the narrower buckets of both bands, by the same rule. Only
+    lists of FEW are gathered; a large bucket is dealt to SALT nodes at a time, each with both drawn ones.
     """
-    own = _windows(met, roots, similarity).select("bucket", "node", "root", "band", "n")
+    own = _windows(met, roots, similarity, scratch).select("bucket", "node", "root", "band", "n")
     many = own.where(F.col("n") > FEW).select("node", "root", "bucket", "band")
     two = many.join(met.select("node", F.col("band").alias("band2"), F.col("value").alias("value2")), "node").where("band < band2")
     two = _mixed(two.select(F.xxhash64("bucket", "band2", "value2").alias("bucket"), "node", "root", "band"))
-    place = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-    ranked = own.unionByName(two).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(place)))
-    lead = ranked.where((F.col("rank") <= LEADERS) | (F.col("n") <= FEW)).groupBy("bucket").agg(F.collect_list(F.struct("rank", "node", "root")).alias("leaders"))
-    met_by = F.filter("leaders", lambda x: (x["rank"] < F.col("rank")) & (x["root"] != F.col("root")))
-    return _ordered(ranked.join(lead, "bucket").select(F.col("node").alias("x"), F.explode(met_by).alias("y")).select("x", F.col("y.node").alias("y")))
-
-
-def _windows(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    rows = own.unionByName(two).select("bucket", "node", "root", "n")
+    lists = rows.where(F.col("n") <= FEW).groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("nodes"))
+    each = lists.select(F.explode("nodes").alias("p"), "nodes").select("p.*", F.explode("nodes").alias("q")).where("node < q.node and root != q.root")
+    crowd = rows.where(F.col("n") > FEW)
+    drawn = F.struct(F.xxhash64("node", F.lit("drawn")).alias("hash"), "node", "root", "n")
+    leaders = crowd.groupBy("bucket").agg(F.array(F.min(drawn), F.max(drawn)).alias("leaders"))
+    leaders = leaders.select("bucket", "leaders", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("leaders")[0]["n"] / SALT))).alias("salt"))
+    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.floor(F.col("n") / SALT) + 1)
+    led = crowd.withColumn("salt", salt).join(leaders, ["bucket", "salt"]).select("node", "root", F.explode("leaders").alias("q")).where("root != q.root")
+    return _ordered(each.unionByName(led.select("node", "root", F.struct("q.node", "q.root").alias("q"))).select(F.col("node").alias("x"), F.col("q.node").alias("y")))
+
+
+def _windows(met: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Nodes by bucket and window of weight, where more than one component is; home: in the upper class of the window's two."""
     class_ = F.floor(F.log("weight") / float(np.log((2 - similarity) / similarity)))
     own = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("window", class_).withColumn("home", F.lit(True))
     own = own.unionByName(own.withColumn("window", F.col("window") + 1).withColumn("home", F.lit(False))).withColumn("bucket", F.xxhash64("band", "value", "window"))
-    return written(_mixed(own.select("bucket", "node", "root", "band", "weight", "home")), "near-own")
+    return scratch.written(_mixed(own.select("bucket", "node", "root", "band", "weight", "home")), "windows")
 
 
-def _rest(met: DataFrame, roots: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+def _rest(met: DataFrame, roots: DataFrame, texts: DataFrame, weights, similarity: float, scratch: Scratch) -> DataFrame:
     """Links that join what is still apart: every pair of nodes that share a crowded bucket but no component is compared.
 
     A bucket's largest component and its other nodes are dealt to blocks by a hash of the node; each block of
     others meets each block of both, a pair of blocks in one task. The nodes of the largest component don't meet
     each other, so a bucket of one component and a few others costs no more than its size for each block of others.
     """
-    own = _windows(met, roots, similarity).where(F.col("n") > FEW)
+    own = _windows(met, roots, similarity, scratch).where(F.col("n") > FEW)
     sizes = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.bool_or("home").alias("home"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bool_or("home").alias("home")).where("home")
     blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WEIGHT), F.lit(1)).cast("int")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 WORDS = 5
-_BASE = 0x9E3779B97F4A7C15 | 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes than this are hashed one by one.
+_LONG = 512
 _BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[128:] = _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = True
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,25 +30,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _reach(n: int) -> None:
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of ASCII letters and digits and of other bytes than ASCII, A-Z as a-z), and the number of each text's."""
+    """Hashes of all words (runs of ASCII letters and digits and of other bytes than ASCII, A-Z as a-z), and the number of each text's.
+
+    A word's bytes, eight at a time, are mixed one after another, so that no sums of powers can cancel out.
+    """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    _reach(len(data) + 1)
     inside = _IN_WORD[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers["up"][: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers["down"][starts] + (ends - starts).astype(np.uint64))
+    padded = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    hashes = mix((eight[starts] & _LOW_BYTES[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64)))
+    left, at = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(left):
+        hashes[left] = mix(hashes[left] * _ODD ^ (eight[starts[left] + at] & _LOW_BYTES[np.minimum(size[left] - at, 8)]))
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(padded[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     borders = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(starts, borders), prepend=0)
 
