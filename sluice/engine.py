@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from sluice.functions.scalar import CHOICES, STRING_FUNCTIONS
 from sluice.operators.relation import Relation
 from sluice.operators.stages import AGGREGATION, RELATIONAL, Compiler
+from sluice.plans.errors import run_errors
 from sluice.plans.registry import Registry
 from sluice.plans.syntax import Parser, parse
 from sluice.sources import tables
@@ -34,14 +35,20 @@ class Engine:
         self.catalog.add(name, frame)
 
     def register_parquet(self, name: str, *paths: str) -> None:
-        self.catalog.add(name, tables.parquet(self.spark, paths))
+        files = tables.ParquetFiles(self.spark, paths)
+        files.frame()  # an error of the files comes now
+        self.catalog.add(name, files)
+
+    def register_values(self, name: str, columns: dict) -> None:
+        self.catalog.add(name, tables.values(self.spark, columns))
 
     def table(self, name: str) -> Relation | None:
-        frame = self.catalog.find(name)
-        return None if frame is None else tables.relation(frame, self.strict, self.ordered)
+        found = self.catalog.find(name)
+        return None if found is None else tables.relation(found, self.strict, self.ordered)
 
     def compile(self, query: str) -> Relation:
-        """QueryError if the query can't be parsed or compiled; nothing runs."""
+        """QueryError if the query can't be parsed or compiled. Nothing runs but, for count, min and max of a whole
+        table of Parquet files, a look at the files' footers."""
         return Compiler(self).run(parse(query, self.registry))
 
     def sql(self, query: str) -> DataFrame:
@@ -50,6 +57,12 @@ class Engine:
             relation = Relation(relation.frame.orderBy(relation.order), relation.scope, relation.order)
         return relation.result()
 
+    def rows(self, query: str) -> list[Row]:
+        """The rows of a query, run now; a failure of the run is a RunError."""
+        frame = self.sql(query)
+        with run_errors():
+            return frame.collect()
+
     def stream(self, frame: DataFrame, stages: str) -> DataFrame:
         """Stages such as "WHERE a > 1 |> EXTEND a + 1 AS b" over any DataFrame, a streaming one too, as far as
         Structured Streaming allows them in the output mode used."""

@@ -11,8 +11,8 @@ from sluice.operators.relation import Relation, fresh
 from sluice.plans.conditions import ConditionCompiler
 from sluice.plans.errors import Code, QueryError, Unsupported
 from sluice.plans.expressions import ExpressionCompiler
-from sluice.plans.registry import After, Clause, ListOf, One, StageRule
-from sluice.plans.syntax import Call, Leaf, Named, Node, SortKey, Stage, Unary
+from sluice.plans.registry import StageRule
+from sluice.plans.syntax import Call, Items, Leaf, Named, Node, SortKey, Stage, Unary
 from sluice.plans.tokens import Kind
 from sluice.plans.types import Column, Scope, Type
 
@@ -59,7 +59,7 @@ def _from(compiler: Compiler, stage: Stage) -> None:
 
 def _where(compiler: Compiler, stage: Stage) -> None:
     condition = ConditionCompiler(compiler.scope).compile(stage.parts[0])
-    compiler.relation = replace(compiler.relation, frame=compiler.relation.frame.where(condition))
+    compiler.relation = replace(compiler.relation, frame=compiler.relation.frame.where(condition), files=None)
 
 
 def _project(keep: bool):
@@ -154,7 +154,7 @@ def _limit(compiler: Compiler, stage: Stage) -> None:
         frame = frame.orderBy(compiler.relation.order)
     if offset:
         frame = frame.offset(offset)
-    compiler.relation = replace(compiler.relation, frame=frame.limit(count))
+    compiler.relation = replace(compiler.relation, frame=frame.limit(count), files=None)
 
 
 def _aggregate(compiler: Compiler, stage: Stage) -> None:
@@ -168,16 +168,21 @@ def _aggregate(compiler: Compiler, stage: Stage) -> None:
         if column.type not in (Type.INT64, Type.STRING):
             raise QueryError.unsupported(Unsupported.GROUP_KEY, key.at)
         keys.append(column.id)
-        scope.append(replace(column, name=alias or column.name))
-    columns = []
+        scope.append(replace(column, name=alias or column.name, raw=None))
+    columns, plain = [], []
     for item in stage.parts[0].items:
         call, alias = (item.value, item.name.text) if isinstance(item, Named) else (item, None)
         name, column, distinct, written = _aggregate_call(compiler, call)
         type_ = result_type(name, column.type) if column else Type.INT64
         id_ = fresh()
-        columns.append(aggregate(name, F.col(column.id) if column else None, distinct and name not in ("min", "max")).cast(type_.value).alias(id_))
+        distinct = distinct and name not in ("min", "max")
+        columns.append(aggregate(name, F.col(column.id) if column else None, distinct).cast(type_.value).alias(id_))
+        plain.append((id_, name if not distinct else None, column))
         scope.append(Column(alias or written, id_, type_))
     relation = compiler.relation
+    if not keys and relation.files and (known := relation.files.summary(plain)):
+        compiler.relation = Relation(known, Scope(scope))
+        return
     order = relation.order and fresh()
     if order:
         columns.append(F.min(relation.order).alias(order))
@@ -210,16 +215,16 @@ def _aggregate_call(compiler: Compiler, call: Node) -> tuple[str, Column | None,
 
 
 RELATIONAL = (
-    StageRule("FROM", (One("name"),), _from, source=True),
-    StageRule("WHERE", (One("expr"),), _where),
-    StageRule("SELECT", (ListOf("aliased"),), _project(keep=False)),
-    StageRule("EXTEND", (ListOf("aliased"),), _project(keep=True)),
-    StageRule("DROP", (ListOf("name"),), _drop),
-    StageRule("RENAME", (ListOf("renamed"),), _in_place(renames=True)),
-    StageRule("SET", (ListOf("assigned"),), _in_place(renames=False)),
-    StageRule("LIMIT", (One("expr"), Clause(("offset",), "expr")), _limit),
+    StageRule("FROM", lambda p: (p.name(),), _from, source=True),
+    StageRule("WHERE", lambda p: (p.expression(),), _where),
+    StageRule("SELECT", lambda p: (p.items(p.aliased),), _project(keep=False)),
+    StageRule("EXTEND", lambda p: (p.items(p.aliased),), _project(keep=True)),
+    StageRule("DROP", lambda p: (p.items(p.name),), _drop),
+    StageRule("RENAME", lambda p: (p.items(p.renamed),), _in_place(renames=True)),
+    StageRule("SET", lambda p: (p.items(p.assigned),), _in_place(renames=False)),
+    StageRule("LIMIT", lambda p: (p.expression(), p.items(p.expression) if p.words("offset", optional=True) else Items(())), _limit),
 )
 AGGREGATION = (
-    StageRule("AGGREGATE", (ListOf("aliased"), Clause(("group", "by"), "aliased")), _aggregate),
-    StageRule("ORDER", (After(("by",), "ordered"),), _order_by),
+    StageRule("AGGREGATE", lambda p: (p.items(p.aliased), p.items(p.aliased) if p.words("group", "by", optional=True) else Items(())), _aggregate),
+    StageRule("ORDER", lambda p: (p.items(p.ordered),) if p.words("by") else (), _order_by),
 )

@@ -5,6 +5,8 @@ They become one Spark predicate, so that Catalyst can push its parts to the scan
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from sluice.plans.errors import Code, QueryError, Unsupported
 from sluice.plans.expressions import COMPARISONS, compared, exact_double, integer, like
 from sluice.plans.syntax import Binary, Items, Leaf, Node, Unary
 from sluice.plans.tokens import Kind
-from sluice.plans.types import Scope, Type
+from sluice.plans.types import Column, Scope, Type
 
 # Limits of a condition.
 PARTS_MAX, VALUES_MAX = 64, 65_536
@@ -32,7 +34,8 @@ class ConditionCompiler:
         if isinstance(node, Unary) and node.operator == "not":
             out = ~self.compile(node.operand)
         elif isinstance(node, Unary) and node.operator in ("null", "not null"):
-            column = F.col(self.column(node.operand, node.operand).id)
+            named = self.column(node.operand, node.operand)
+            column = F.col(named.raw.id if named.raw else named.id)
             if node.operator == "not null":
                 self.count(node.operand)
             out = column.isNull() if node.operator == "null" else column.isNotNull()
@@ -60,12 +63,17 @@ class ConditionCompiler:
         if not (isinstance(name, Leaf) and name.kind == Kind.IDENTIFIER):
             name, literal, operator = literal, name, _SWAPPED[operator]
         column = self.column(name, node)
-        return compared(operator, F.col(column.id), self.literal(literal, column.type))
+        if column.type == Type.STRING and isinstance(literal, Leaf) and literal.kind == Kind.STRING:
+            return compared(operator, F.col(column.id), F.lit(literal.text))
+        return self.asked(column, [self.number(literal, column.type)], lambda x, values: compared(operator, x, values[0]))
 
-    def literal(self, node: Node, type_: Type) -> SparkColumn:
-        if type_ == Type.STRING and isinstance(node, Leaf) and node.kind == Kind.STRING:
-            return F.lit(node.text)
-        return F.lit(self.number(node, type_))
+    @staticmethod
+    def asked(column: Column, values: list, test: Callable[[SparkColumn, list], SparkColumn]) -> SparkColumn:
+        """The test, of the source's own date or time if that is what the integers stand for: the scan can take it."""
+        moments = [column.raw.literal(v) for v in values] if column.raw else []
+        if moments and all(m is not None for m in moments):
+            return test(F.col(column.raw.id), moments)
+        return test(F.col(column.id), [F.lit(v) for v in values])
 
     def number(self, node: Node, type_: Type, negative: bool = False) -> int | float:
         if isinstance(node, Unary) and node.operator == "negate":
@@ -105,4 +113,4 @@ class ConditionCompiler:
                 values.append(item.text)
             else:
                 raise QueryError.unsupported(Unsupported.WHERE, item.span())
-        return F.col(column.id).isin(values)
+        return self.asked(column, values, lambda x, them: x.isin(them)) if column.raw else F.col(column.id).isin(values)

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from enum import IntEnum
+from enum import Enum, IntEnum
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 
 
 # Codes are part of the language and never change.
@@ -160,3 +165,40 @@ class QueryError(Exception):
         width = max(1, len(raw[start : start + self.span.length].decode(errors="replace")))
         margin = " " * len(str(number))
         return f"error[E{self.code:04}]: {self.message()}\n{margin}--> {number}:{column + 1}\n{margin} |\n{number} | {line}\n{margin} | {' ' * column}{'^' * width}"
+
+
+# Why a run can fail.
+class Failure(Enum):
+    OUT_OF_MEMORY = "OutOfMemory"
+    IO = "Io"
+    CORRUPT = "Corrupt"
+    UNSUPPORTED = "Unsupported"
+    OVERFLOW = "Overflow"
+
+
+#: What Spark's error says, by failure; the first that is found counts.
+_SAYS = (
+    (Failure.OVERFLOW, ("ARITHMETIC_OVERFLOW", "BINARY_ARITHMETIC_OVERFLOW", "CAST_OVERFLOW", "NUMERIC_VALUE_OUT_OF_RANGE")),
+    (Failure.OUT_OF_MEMORY, ("OutOfMemory", "UNABLE_TO_ACQUIRE_MEMORY", "maxResultSize")),
+    (Failure.CORRUPT, ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "CANNOT_READ_FOOTER", "corrupt", "ChecksumException", "ParquetDecodingException")),
+    (Failure.IO, ("FILE_NOT_EXIST", "FileNotFound", "PATH_NOT_FOUND", "FAILED_READ_FILE", "IOException")),
+)
+
+
+class RunError(Exception):
+    """A run that failed, and why; Spark's own error is its cause."""
+
+    def __init__(self, failure: Failure, message: str):
+        self.failure = failure
+        super().__init__(f"{failure.value}: {message}")
+
+
+@contextmanager
+def run_errors() -> Iterator[None]:
+    """Spark's errors of running queries as RunError."""
+    try:
+        yield
+    except (PySparkException, Py4JError) as error:
+        text = str(error)
+        failure = next((f for f, says in _SAYS if any(x in text for x in says)), Failure.UNSUPPORTED)
+        raise RunError(failure, text.split("\n", 1)[0]) from error

@@ -7,38 +7,13 @@ from dataclasses import dataclass
 from typing import Any
 
 
-@dataclass(frozen=True)
-class One:
-    shape: str
-
-
-@dataclass(frozen=True)
-class ListOf:
-    shape: str
-
-
-@dataclass(frozen=True)
-class Clause:
-    """Words and then a list, or neither."""
-
-    words: tuple[str, ...]
-    shape: str
-
-
-@dataclass(frozen=True)
-class After:
-    """Words that must come, and then a list."""
-
-    words: tuple[str, ...]
-    shape: str
-
-
 @dataclass(frozen=True)
 class StageRule:
-    """compile takes a compiler and the parsed stage, and changes the compiler's relation."""
+    """read takes the parser, after the keyword, and returns the stage's parts; compile takes a compiler and the parsed
+    stage, and changes the compiler's relation. A source begins a query: its compile sets the relation."""
 
     keyword: str
-    parts: tuple[One | ListOf | Clause | After, ...]
+    read: Callable[[Any], tuple]
     compile: Callable[[Any, Any], None]
     source: bool = False
 

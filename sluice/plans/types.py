@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
+from pyspark.sql import Column as SparkColumn
+from pyspark.sql import functions as F
+
 from sluice.plans.errors import Code, QueryError
 from sluice.plans.syntax import Leaf
 
@@ -17,11 +20,30 @@ class Type(Enum):
 
 @dataclass(frozen=True)
 class Column:
-    """A column in scope: the name queries use, and its own name in the DataFrame, which no other has."""
+    """A column in scope: the name queries use, and its own name in the DataFrame, which no other has. raw: for an
+    integer that stands for something else, what it is, so that conditions can ask the source's own column."""
 
     name: str
     id: str
     type: Type
+    raw: Raw | None = None
+
+
+@dataclass(frozen=True)
+class Raw:
+    """The column id of a date, timestamp or timestamp_ntz, counted from 1970 in days or microseconds; and, where rows
+    come from files as they are, its name there."""
+
+    id: str
+    kind: str
+    name: str
+
+    def literal(self, value: int) -> SparkColumn | None:
+        """The date or time that the integer stands for; None if there is none."""
+        if self.kind == "date":
+            return F.date_from_unix_date(F.lit(value)) if -(1 << 31) <= value < 1 << 31 else None
+        moment = F.timestamp_micros(F.lit(value).cast("bigint"))
+        return moment.cast("timestamp_ntz") if self.kind == "timestamp_ntz" else moment
 
 
 class Scope(tuple[Column, ...]):
