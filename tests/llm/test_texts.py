@@ -1,10 +1,12 @@
 """Fingerprints, audio, licenses, secrets: each against a plain Python reading of the whole text."""
 
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -294,6 +296,64 @@ def test_the_battery_tells_keys_from_words(spark):
     assert len(flagged & set(range(40))) >= 36 and not flagged - set(range(40))
 
 
+def plain_battery(match):
+    """The battery read off its definition, with the exact normal distribution: evidence and the least p of the tests of randomness."""
+    body = match.rstrip("=")
+    normal = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    has = lambda p: re.search(p, body) is not None
+    if (has("^[0-9a-f]+$") or has("^[0-9A-F]+$")) and has("[0-9]") and has("[a-fA-F]"):
+        size, alike, kind = 16, 0.10, "hex"
+    elif has("^[A-Z2-7]+$") and has("[2-7]") and has("[A-Z]"):
+        size, alike, kind = 32, 0.066, "base32"
+    elif (has("^[0-9a-z]+$") or has("^[0-9A-Z]+$")) and has("[0-9]") and has("[a-zA-Z]"):
+        size, alike, kind = 36, 0.066, "base36"
+    elif has("[A-Z]") and has("[a-z]") and has("[0-9]"):
+        size, alike, kind = 64, 0.060, "base64"
+    else:
+        return None
+    alphabet = {"hex": "0123456789abcdef", "base32": UPPER + "234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": UPPER + UPPER.lower() + "0123456789+/"}[kind]
+    marks = (body.lower() if kind in ("hex", "base36") else body).replace("-", "+").replace("_", "/")
+    n = len(marks)
+    pairs = sum(c * (c - 1) / 2 for c in Counter(marks).values())
+    mean = n * (n - 1) / 2 * alike
+    evidence = min(-math.log10(max(normal((pairs + 0.5 - mean) / math.sqrt(mean)), 1e-16)), 16)
+    high = [alphabet.index(c) >= size / 2 for c in marks]
+    n1 = sum(high)
+    expected = 1 + 2 * n1 * (n - n1) / n
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    p = [2 * normal(-abs((sum(a != b for a, b in zip(high, high[1:])) + 1 - expected) / math.sqrt(spread))) if spread > 0 else 0.0]
+    values = [alphabet.index(c) for c in marks]
+    around = [v - sum(values) / n for v in values]
+    squares = sum(v * v for v in around)
+    p.append(2 * normal(-abs((sum(a * b for a, b in zip(around, around[1:])) / squares + 1 / n) * math.sqrt(n))) if squares else 0.0)
+    shares = {"base64": {"A": 26 / 64, "a": 26 / 64, "0": 10 / 64, "+": 2 / 64}, "base36": {"a": 26 / 36, "0": 10 / 36}}.get(kind)
+    if shares:
+        classes = ["0" if c.isdigit() else "+" if not c.isalpha() else "A" if c.isupper() else "a" for c in body.replace("-", "+").replace("_", "/")]
+        change = 1 - sum(x * x for x in shares.values())
+        p.append(normal((sum(a != b for a, b in zip(classes, classes[1:])) - change * (n - 1)) / math.sqrt((n - 1) * change * (1 - change))))
+        counted = Counter(classes) if kind == "base64" else Counter("0" if c == "0" else "a" for c in classes)
+        chi, free = sum((counted[c] - x * n) ** 2 / (x * n) for c, x in shares.items()), len(shares) - 1
+        p.append(normal(-(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))))
+    return evidence, min(p)
+
+
+def test_the_battery_is_that_of_its_definition(spark):
+    r = random.Random(8)
+    drawn = lambda of, n: "".join(r.choice(of) for _ in range(n))
+    hexa, small = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [drawn(of, r.randrange(20, 70)) for of in (hexa, hexa.upper(), UPPER + "234567", small, small.upper(), UPPER + small + "+/", UPPER + small + "-_") for _ in range(25)]
+    rows += ["Documentation2024OfTheSystemAndItsParts", "0" * 20 + "a", "ab01" * 8, "thisisnoencoding_at_all", drawn(UPPER + small, 43) + "=", "aaaaaaaaaaAAAAAAAAAA0000000000"]
+    got = {x["m"]: x["e"] for x in spark.createDataFrame([(m,) for m in rows], "m string").select("m", secrets.battery(F.col("m")).alias("e")).collect()}
+    for match in rows:
+        wanted = plain_battery(match)
+        if wanted is None:
+            assert got[match] is None
+        elif wanted[1] < secrets.REJECT:
+            assert got[match] == 0
+        else:
+            assert abs(got[match] - wanted[0]) < 1e-5
+
+
 def test_runs_that_are_not_tested_hide_no_key(spark):
     """One key of 22 symbols among words without an encoding, and keys of small letters and digits, among words with a number."""
     rng = np.random.default_rng(3)
