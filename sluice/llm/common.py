@@ -37,9 +37,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of `written` that nobody has released.
+_WRITTEN: list[str] = []
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, keep: DataFrame, since: int) -> None:
+    """Deletes the tables of `written` since there were so many, but those that keep reads: for who has written what it
+    needs of them."""
+    read = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()}
+    for path in [p for p in _WRITTEN[since:] if p.split(":", 1)[-1].lstrip("/") not in read]:
+        _WRITTEN.remove(path)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """By Hadoop's file system, as the folder may be in any store."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
+
+
 class Scratch:
     """Tables of one run that nothing needs once its result is written: `clear` deletes them from the shared folder."""
 
@@ -54,10 +78,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
-        """By Hadoop's file system, as the folder may be in any store."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(self.spark, self.folder)
 
 
 _SHIPPED: set[str] = set()

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from sluice.llm import mixing, near_dedup
-from sluice.llm.common import Scratch, table, written
+from sluice.llm.common import Scratch, release, shared_dir, table, written, written_so_far
 from sluice.llm.mixing import Mixture, budgets, mix
 from sluice.llm.queries import with_domain
 from sluice.llm.shingles import Weights, shingles, weighted_jaccard, word_hashes
@@ -211,6 +211,16 @@ def test_frequencies_cover_all_documents(spark):
     assert isinstance(weights, Weights)
 
 
+def test_released_tables_are_gone(spark):
+    folders = lambda: {f for f in os.listdir(shared_dir(spark).removeprefix("file://")) if f.startswith("released-")}
+    zero = written(spark.range(0), "released-0")
+    since = written_so_far()
+    one, two = (written(spark.range(k), f"released-{k}") for k in (1, 2))
+    assert len(folders()) == 3
+    release(spark, two, since)
+    assert len(folders()) == 2 and two.count() == 2 and zero.count() == 0
+
+
 # Mixing
 
 
