@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import mixing, near_dedup, secrets, severity
-from sluice.llm.common import table, written
+from sluice.llm.common import release, table, written, written_so_far
 from sluice.llm.packing import pack
 from sluice.llm.queries import with_domain
 from sluice.llm.token_ids import default_tokenizer
@@ -51,7 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each but the last written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, docs, before)  # what this stage wrote on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
