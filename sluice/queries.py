@@ -269,7 +269,15 @@ REFUSED: dict[str, list[tuple[str, int, int, int, int]]] = {
 def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
     if spark.conf.get("spark.sql.session.timeZone") not in ("Etc/UTC", "UTC"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return Engine(spark, Catalog.directory(spark, sf_dir, TABLES), **options)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CATALOGS:
+        _CATALOGS.clear()
+        _CATALOGS[key] = Catalog.directory(spark, sf_dir, TABLES)
+    return Engine(spark, _CATALOGS[key].copy(), **options)
+
+
+#: The tables of the folder last asked for: their schemas are looked up once.
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
 
 
 def _pipe(query: str) -> Callable[[SparkSession, str], DataFrame]:

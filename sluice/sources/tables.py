@@ -138,7 +138,7 @@ class ParquetFiles:
         for key, value in _BY_FOOTERS.items():
             session.conf.set(key, value)
         try:
-            found = session.read.parquet(*self.paths).agg(*calls)
+            found = session.read.schema(self.frame().schema).parquet(*self.paths).agg(*calls)
             if "PushedAggregation: []" in found._jdf.queryExecution().executedPlan().toString():
                 return None
             (row,) = found.collect()
@@ -146,7 +146,7 @@ class ParquetFiles:
             return None
         days = lambda v: (v - date(1970, 1, 1)).days if isinstance(v, date) else v
         values = [days(v) for v in row]
-        return self.spark.range(1).select(*(F.lit(v).cast("bigint").alias(id_) for v, (id_, _, _) in zip(values, wanted)))
+        return self.spark.range(0, 1, 1, 1).select(*(F.lit(v).cast("bigint").alias(id_) for v, (id_, _, _) in zip(values, wanted)))
 
 
 _BY_FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
@@ -182,6 +182,9 @@ class Catalog:
     def directory(cls, spark: SparkSession, folder: str, names: Sequence[str]) -> Catalog:
         return cls({n: ParquetFiles(spark, [f"{folder}/{n}.parquet"]) for n in names})
 
+    def copy(self) -> Catalog:
+        return Catalog(self._tables, self._fallback)
+
     def add(self, name: str, table: Table) -> None:
         self._tables[name] = table
 
