@@ -28,9 +28,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens, shared by weights; what was just freed of copies isn't repeated, so one epoch at most."""
+    """Nine tenths of the corpus by bytes, which the packed tokens follow, shared by weights; what was just freed of copies
+    isn't repeated, so one epoch at most."""
     mixture = mixing.Mixture(weights={"lang": {"en": 4.0, "de": 2.0}}, share=0.9, max_epochs=1, seed=17)
-    return mixing.mix(with_domain(docs), mixture, epoch=None).select(*docs.columns)
+    return mixing.mix(with_domain(docs), mixture, mixing.bytes_and_end, epoch=None).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
