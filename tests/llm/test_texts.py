@@ -8,11 +8,14 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import audio, diagonals, prefix_hash, secrets
+from sluice.llm.queries import ORACLE_SQL, QUERIES
+from tests.conftest import DATA
 
 
 def by_id(rows):
@@ -234,6 +237,15 @@ def test_spans_are_those_of_the_definition(spark):
         assert max(r["coverage"] for r in mine) == best
 
 
+def test_licenses_are_those_of_the_sql(spark):
+    folder = f"{DATA}/sf0.01"
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    frame, wanted = QUERIES["op2_license_diagonals"](spark, folder), duck.sql(ORACLE_SQL["op2_license_diagonals"])
+    assert frame.columns == wanted.columns
+    assert sorted(map(tuple, frame.collect())) == sorted(wanted.fetchall())
+
+
 def test_words_within_a_license_do_not_hide_it(spark):
     mit = diagonals.TEMPLATES[8].words.split()
     texts = [" ".join([*mit[:10], *inner, *mit[10:]]) for inner in (("one", "two", "three"), ("free", "of", "charge"), mit[3:6], ())]
