@@ -269,15 +269,13 @@ REFUSED: dict[str, list[tuple[str, int, int, int, int]]] = {
 def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
     if spark.conf.get("spark.sql.session.timeZone") not in ("Etc/UTC", "UTC"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CATALOGS:
-        _CATALOGS.clear()
-        _CATALOGS[key] = Catalog.directory(spark, sf_dir, TABLES)
-    return Engine(spark, _CATALOGS[key].copy(), **options)
+    if _LAST["spark"] is not spark or _LAST["folder"] != sf_dir:
+        _LAST.update(spark=spark, folder=sf_dir, catalog=Catalog.directory(spark, sf_dir, TABLES))
+    return Engine(spark, _LAST["catalog"].copy(), **options)
 
 
-#: The tables of the folder last asked for: their schemas are looked up once.
-_CATALOGS: dict[tuple[str, str], Catalog] = {}
+#: The session and folder last asked for, and its tables: their schemas are looked up once.
+_LAST: dict = {"spark": None, "folder": None, "catalog": None}
 
 
 def _pipe(query: str) -> Callable[[SparkSession, str], DataFrame]:
