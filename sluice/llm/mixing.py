@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import text_of, written
 
-#: The hash's bits that tell its range, and those that tell the range within it.
-BITS = 10
+#: Bits of a key, of those the first that tell its range, and as many that tell the range within it.
+KEY_BITS, BITS = 60, 10
 #: Leaves up to this many are broadcast; beyond, they are joined by shuffle.
 BROADCAST_LEAVES = 20_000
 
@@ -90,8 +90,14 @@ def budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     return rows.select(*levels, "_tokens", F.floor(F.col("_given") + 1e-6).cast("long").alias("_budget"))
 
 
+def _digits(text: Column) -> Column:
+    """The first 15 hexadecimal digits of a hash."""
+    return F.substring(F.md5(text.cast("binary")), 1, 15)
+
+
 def _key(base: str, mixture: Mixture) -> Column:
-    return F.xxhash64(F.col(base), F.lit(mixture.seed), F.col("_epochs"))
+    """The place of a row in the order of an epoch: 60 bits of a hash."""
+    return F.conv(_digits(F.concat_ws(":", F.col(base), F.lit(mixture.seed), F.col("_epochs"))), 16, 10).cast("long")
 
 
 def cuts(sizes: DataFrame, leaves: DataFrame, mixture: Mixture) -> DataFrame:
@@ -105,7 +111,7 @@ def cuts(sizes: DataFrame, leaves: DataFrame, mixture: Mixture) -> DataFrame:
     rows = sizes.join(small(ends), levels).where("_rest > 0").withColumn("_key", _key("_hash", mixture))
     found = plan.where("_rest > 0").select(*levels, "_rest")
     at = levels
-    for name, shift in (("_b1", 64 - BITS), ("_b2", 64 - 2 * BITS)):
+    for name, shift in (("_b1", KEY_BITS - BITS), ("_b2", KEY_BITS - 2 * BITS)):
         rows = rows.withColumn(name, F.shiftright("_key", shift))
         sums = rows.groupBy(*at, name).agg(F.sum("_n").alias("_n"))
         order = Window.partitionBy(*levels).orderBy(name)
@@ -117,9 +123,9 @@ def cuts(sizes: DataFrame, leaves: DataFrame, mixture: Mixture) -> DataFrame:
         rows = rows.join(small(found.select(*at)), at, "left_semi")
     exact = rows.groupBy(*at, "_key").agg(F.sum("_n").alias("_n")).join(small(found), at)
     exact = exact.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*levels).orderBy("_key")))
-    cut = exact.groupBy(*levels).agg(F.max(F.when(F.col("_upto") <= F.col("_rest"), F.col("_key"))).alias("_last"), (F.first("_b2") * F.lit(1 << 64 - 2 * BITS)).alias("_low"))
+    cut = exact.groupBy(*levels).agg(F.max(F.when(F.col("_upto") <= F.col("_rest"), F.col("_key"))).alias("_last"), (F.first("_b2") * F.lit(1 << KEY_BITS - 2 * BITS)).alias("_low"))
     # Where not even the first row of the last range fits, the prefix ends before that range.
-    cut = cut.select(*levels, F.coalesce(F.col("_last"), F.when(F.col("_low") > -(1 << 63), F.col("_low") - 1).otherwise(F.col("_low"))).alias("_cut"))
+    cut = cut.select(*levels, F.coalesce(F.col("_last"), F.col("_low") - 1).alias("_cut"))
     return ends.select(*levels, "_epochs").join(cut, levels, "left")
 
 
@@ -134,7 +140,7 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture(), tokens=words_and_end, epo
     Texts are read twice and never shuffled; a table of hash and token count for each row is written.
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if epoch is None or c.lower() != epoch.lower()])
-    hash_ = F.xxhash64(F.col("doc_id").cast("string"), text_of())
+    hash_ = _digits(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of()))
     levels = [f"_{k}" for k in range(len(mixture.tree))]
     sizes = written(docs.select(*_leaf(mixture), hash_.alias("_hash"), tokens(text_of()).alias("_n")), "mixing-sizes")
     totals = sizes.groupBy(*levels).agg(F.sum("_n").alias("_tokens"))

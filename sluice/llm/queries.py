@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import table
-from sluice.llm.sql import license_diagonals
+from sluice.llm.mixing import Mixture
+from sluice.llm.sql import license_diagonals, mixing
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,19 +66,22 @@ def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_domain(docs: DataFrame) -> DataFrame:
-    """The tables name no domain: sources are dealt to four by a checksum of their names. A column domain stays what it is."""
+    """The tables name no domain: sources are dealt to four by a hash of their names. A column domain stays what it is."""
     if "domain" in map(str.lower, docs.columns):
         return docs
     source = F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")
-    return docs.withColumn("domain", F.concat(F.lit("domain"), (F.crc32(source) % 4).cast("string")))
+    digit = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(source), 1, 1)) - 1
+    return docs.withColumn("domain", F.concat(F.lit("domain"), (digit % 4).cast("string")))
+
+
+#: What op9_mixing mixes to.
+MIXTURE = Mixture(weights={"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0}}, share=0.6, max_epochs=2, seed=17)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sluice.llm.mixing import Mixture, mix, words_and_end
+    from sluice.llm.mixing import mix, words_and_end
 
-    weights = {"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0}}
-    docs = with_domain(table(spark, sf_dir, "documents"))
-    mixed = mix(docs, Mixture(weights=weights, share=0.6, max_epochs=2, seed=17))
+    mixed = mix(with_domain(table(spark, sf_dir, "documents")), MIXTURE)
     return mixed.select("doc_id", "domain", "lang", "source", words_and_end(F.coalesce("text", F.lit(""))).alias("tokens"), F.col("_epoch").alias("epoch"))
 
 
@@ -101,4 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_diagonals": license_diagonals()}
+ORACLE_SQL: dict[str, str] = {"op2_license_diagonals": license_diagonals(), "op9_mixing": mixing(MIXTURE)}

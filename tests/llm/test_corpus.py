@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -12,8 +13,9 @@ import corpus_pipeline
 from sluice.llm import mixing, near_dedup
 from sluice.llm.common import Scratch, release, shared_dir, table, written, written_so_far
 from sluice.llm.mixing import Mixture, budgets, mix
-from sluice.llm.queries import with_domain
+from sluice.llm.queries import ORACLE_SQL, QUERIES, with_domain
 from sluice.llm.shingles import Weights, shingles, weighted_jaccard, word_hashes
+from tests.conftest import DATA
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -275,10 +277,10 @@ def test_mixes_take_prefixes_of_seeded_epochs(spark, documents):
     docs = with_domain(documents)
     out = mix(docs, mixture).toPandas()
     assert list(out.columns) == [*docs.columns, "_epoch"]
-    sizes = docs.select(*mixing._leaf(mixture), "doc_id", mixing.words_and_end(mixing.text_of()).alias("n"), mixing.F.xxhash64(mixing.F.col("doc_id").cast("string"), "text").alias("h")).toPandas()
+    sizes = docs.select(*mixing._leaf(mixture), "doc_id", mixing.words_and_end(mixing.text_of()).alias("n"), mixing._digits(mixing.F.concat_ws(":", mixing.F.col("doc_id").cast("string"), "text")).alias("h")).toPandas()
     leaves = sizes.groupby(["_0", "_1", "_2"]).n.sum().to_dict()
     wanted = plain_budgets(leaves, mixture)
-    keys = spark.createDataFrame(sizes).crossJoin(spark.range(4).withColumnRenamed("id", "e")).select("doc_id", "e", mixing.F.xxhash64("h", mixing.F.lit(5), "e").alias("key")).toPandas()
+    keys = spark.createDataFrame(sizes).crossJoin(spark.range(4).withColumnRenamed("id", "e")).withColumn("_epochs", mixing.F.col("e")).select("doc_id", "e", mixing._key("h", mixture).alias("key")).toPandas()
     key = {(r.doc_id, r.e): r.key for r in keys.itertuples()}
     got = {(r[0], r[1]) for r in out[["doc_id", "_epoch"]].itertuples(index=False, name=None)}
     plan = set()
@@ -294,6 +296,15 @@ def test_mixes_take_prefixes_of_seeded_epochs(spark, documents):
     assert got == plan and len(got) == len(out)
 
 
+def test_mixes_are_those_of_the_sql(spark):
+    folder = f"{DATA}/sf0.01"
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    frame, wanted = QUERIES["op9_mixing"](spark, folder), duck.sql(ORACLE_SQL["op9_mixing"])
+    assert frame.columns == wanted.columns
+    assert sorted(map(tuple, frame.collect())) == sorted(wanted.fetchall())
+
+
 def test_mixes_of_odd_rows(odd, none):
     mixture = Mixture(tree=("lang", "label"), share=2.0, max_epochs=2)
     assert mix(odd, mixture).count() == 2 * odd.count() and mix(none, mixture).collect() == []
