@@ -28,8 +28,9 @@ SIMILARITY = 0.8
 FEW = 12
 #: Nodes of a block, and their weight (about as many words at most twice over), on average at most: two blocks are in memory at once.
 BLOCK, BLOCK_WEIGHT = 512, 500_000.0
-#: Nodes of a crowded bucket that one task leads to the drawn nodes, on average at most.
-SALT = 1024
+#: Parts that each bucket of several components is dealt to, and nodes of a crowded one that one task leads to the drawn
+#: nodes, on average at most.
+DEALT, SALT = 32, 128
 _SLICES = 64
 _COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64())])
@@ -268,7 +269,7 @@ def _rest(met: DataFrame, roots: DataFrame, texts: DataFrame, weights, similarit
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bool_or("home").alias("home")).where("home")
     blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WEIGHT), F.lit(1)).cast("int")
     sizes = sizes.select("bucket", F.col("most.root").alias("largest"), blocks(F.col("most.n"), F.col("most.w")).alias("of_largest"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("of_others"))
-    dealt = own.select("bucket", "node", "root", "home").join(sizes, "bucket").withColumn("large", F.col("root") == F.col("largest"))
+    dealt = _by_bucket(own.select("bucket", "node", "root", "home"), sizes).withColumn("large", F.col("root") == F.col("largest"))
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("large"), F.col("of_largest")).otherwise(F.col("of_others"))).cast("int")
     dealt = dealt.withColumn("block", block)
     place = lambda large, i, j: F.struct(large.alias("large"), i.alias("i"), j.alias("j"))
@@ -339,7 +340,13 @@ def _links(names: list[str], roots: list[str], texts: list[str], home: np.ndarra
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of buckets with more than one component, and how many nodes each has."""
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return rows.join(sizes.where("low != high").select("bucket", "n"), "bucket")
+    return _by_bucket(rows, sizes.where("low != high").select("bucket", "n"))
+
+
+def _by_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows with what buckets has of each bucket. A bucket's rows are dealt out by a hash of the node, its own row goes along."""
+    each = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("dealt")), F.lit(DEALT)).cast("int")).join(each, ["bucket", "salt"]).drop("salt")
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
