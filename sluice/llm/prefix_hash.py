@@ -78,17 +78,16 @@ class PrefixHash:
                 head = after.prefix[k][: keep + 1]
                 self.prefix.append(np.concatenate([head, _mod(sums + head[-1])]))
 
-    def spans(self, starts, length: int, base: int = 0) -> np.ndarray:
-        """Hashes of the spans of that length, alike wherever a span stands."""
-        h = self.prefix[base]
-        starts = np.asarray(starts)
-        return _mod(_mod(h[starts + length] + np.uint64(PRIME) - h[starts]) * _POWERS[base].down[starts])
-
     def whole(self) -> tuple[int, int]:
         return int(self.prefix[0][-1]), int(self.prefix[1][-1])
 
+    def span(self, start: int, length: int, base: int = 0) -> int:
+        """The hash of one span."""
+        h = self.prefix[base]
+        return (int(h[start + length]) - int(h[start])) * int(_POWERS[base].down[start]) % PRIME
+
     def equal(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
-        return all(int(self.spans([i], length, k)[0]) == int(other.spans([j], length, k)[0]) for k in range(len(BASES)))
+        return all(self.span(i, length, k) == other.span(j, length, k) for k in range(len(BASES)))
 
     def common_extension(self, i: int, other: PrefixHash, j: int) -> int:
         """How far the sequences agree from i and j on."""
