@@ -25,7 +25,7 @@ PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
 WINDOW, BINS = 8, 128
 #: Keys sampled for each range of doc_ids.
-SAMPLED = 20
+SAMPLED = 60
 _EMPTY = np.uint32(0xFFFFFFFF)
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_prefix_edited", pa.int64()), ("common_prefix_next", pa.int64())])
 
@@ -177,10 +177,10 @@ def _row(own: _Text, after: _Text) -> tuple:
 
 
 def _cuts(rows: DataFrame, key: list[str], parts: int) -> list[dict]:
-    """Keys that cut rows into about `parts` ranges of about as many rows, from a sample of SAMPLED a range; they tell
+    """Keys that cut rows into about `parts` ranges of about as many rows, from a sample of SAMPLED a range, a million at most; they tell
     where rows are handled, not what comes out."""
     n = rows.count()
-    found = sorted(tuple(r) for r in rows.select(*key).sample(min(1.0, SAMPLED * parts / max(n, 1)), 11).collect())
+    found = sorted(tuple(r) for r in rows.select(*key).sample(min(1.0, min(SAMPLED * parts, 1_000_000) / max(n, 1)), 11).collect())
     return [dict(zip(key, k)) for k in sorted({found[len(found) * i // parts] for i in range(1, parts)} if found else ())]
 
 
