@@ -91,6 +91,7 @@ class ParquetFiles:
     def __init__(self, spark: SparkSession, paths: Sequence[str], summaries: bool = True):
         self.spark, self.paths, self.summaries = spark, tuple(paths), summaries
         self._frame: DataFrame | None = None
+        self._footers: list[DataFrame] = []
         self.names: dict[str, str] = {}
 
     def frame(self) -> DataFrame:
@@ -114,7 +115,7 @@ class ParquetFiles:
 
     def known(self, names: dict[str, str]) -> ParquetFiles:
         out = ParquetFiles(self.spark, self.paths, self.summaries)
-        out._frame, out.names = self._frame, names
+        out._frame, out._footers, out.names = self._frame, self._footers, names
         return out
 
     def summary(self, wanted: list[tuple[str, str | None, Column | None]]) -> DataFrame | None:
@@ -134,11 +135,13 @@ class ParquetFiles:
                 return None
         if not self.summaries or len({n.lower() for n in kinds}) < len(kinds):
             return None
-        session = self.spark.newSession()  # with settings of its own
-        for key, value in _BY_FOOTERS.items():
-            session.conf.set(key, value)
         try:
-            found = session.read.schema(self.frame().schema).parquet(*self.paths).agg(*calls)
+            if not self._footers:
+                session = self.spark.newSession()  # with settings of its own
+                for key, value in _BY_FOOTERS.items():
+                    session.conf.set(key, value)
+                self._footers.append(session.read.schema(self.frame().schema).parquet(*self.paths))
+            found = self._footers[0].agg(*calls)
             if "PushedAggregation: []" in found._jdf.queryExecution().executedPlan().toString():
                 return None
             (row,) = found.collect()
