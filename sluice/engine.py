@@ -23,12 +23,14 @@ class Engine:
     out. ordered: rows keep their places in the source, so that sorts are stable, groups come in first-seen
     order and LIMIT needs no ORDER BY; it costs a column and a sort where that matters. Without it, rows
     have an order only after ORDER BY. Integer overflow is an error only in ANSI mode, which is required.
+    wide_averages: avg reads products, sums and differences of integers as they are, whether or not they fit
+    64 bits; all else that reads such a column fails where they don't.
     """
 
-    def __init__(self, spark: SparkSession, catalog: Catalog | dict | None = None, registry: Registry = STANDARD, strict: bool = True, ordered: bool = False):
+    def __init__(self, spark: SparkSession, catalog: Catalog | dict | None = None, registry: Registry = STANDARD, strict: bool = True, ordered: bool = False, wide_averages: bool = False):
         if spark.conf.get("spark.sql.ansi.enabled").lower() != "true":
             raise ValueError("spark.sql.ansi.enabled must be true")
-        self.spark, self.registry, self.strict, self.ordered = spark, registry, strict, ordered
+        self.spark, self.registry, self.strict, self.ordered, self.wide_averages = spark, registry, strict, ordered, wide_averages
         self.catalog = catalog if isinstance(catalog, Catalog) else Catalog(catalog)
 
     def register(self, name: str, frame: DataFrame) -> None:

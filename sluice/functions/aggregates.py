@@ -21,8 +21,9 @@ def result_type(name: str, read: Type) -> Type:
     return Type.FLOAT64 if name == "avg" else read if name in ("min", "max") else Type.INT64
 
 
-def aggregate(name: str, x: SparkColumn | None, distinct: bool) -> SparkColumn:
-    """NULL values don't count; sums overflow as an error; an average is the exact sum divided once."""
+def aggregate(name: str, x: SparkColumn | None, distinct: bool, wide: bool = False) -> SparkColumn:
+    """NULL values don't count; sums overflow as an error; an average is the exact sum divided once. wide: an average
+    reads a decimal."""
     if x is None:
         return F.count(F.lit(1))
     if name == "count":
@@ -30,7 +31,7 @@ def aggregate(name: str, x: SparkColumn | None, distinct: bool) -> SparkColumn:
     if name == "sum":
         return F.sum_distinct(x) if distinct else F.sum(x)
     if name == "avg":
-        exact = x.cast("decimal(20,0)")
+        exact = x if wide else x.cast("decimal(20,0)")
         total, n = (F.sum_distinct(exact), F.count_distinct(x)) if distinct else (F.sum(exact), F.count(x))
         return F.when(n > 0, total.cast("double") / n)
     return F.min(x) if name == "min" else F.max(x)

@@ -39,8 +39,8 @@ class Relation:
     files: Files | None = None  # whose rows these are, all of them
 
     def ids(self) -> list[str]:
-        raw = [c.raw.id for c in self.scope if c.raw]
-        return [*dict.fromkeys([*(c.id for c in self.scope), *raw]), *([self.order] if self.order else [])]
+        beside = [c.raw.id for c in self.scope if c.raw] + [c.wide for c in self.scope if c.wide]
+        return [*dict.fromkeys([*(c.id for c in self.scope), *beside]), *([self.order] if self.order else [])]
 
     def with_scope(self, scope) -> Relation:
         return replace(self, scope=Scope(scope))

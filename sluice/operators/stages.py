@@ -10,7 +10,7 @@ from sluice.functions.aggregates import READS, aggregate, result_type
 from sluice.operators.relation import Relation, fresh
 from sluice.plans.conditions import ConditionCompiler
 from sluice.plans.errors import Code, QueryError, Unsupported
-from sluice.plans.expressions import ExpressionCompiler
+from sluice.plans.expressions import ExpressionCompiler, wide
 from sluice.plans.registry import StageRule
 from sluice.plans.syntax import Call, Items, Leaf, Named, Node, SortKey, Stage, Unary
 from sluice.plans.tokens import Kind
@@ -41,10 +41,14 @@ class Compiler:
             return replace(found, name=name or found.name)
         if name is None:
             raise QueryError(Code.EXPECTED_NAME, node.span())
-        column, type_ = ExpressionCompiler(self.scope, self.engine.registry).compile(node)
-        id_ = fresh()
-        computed[id_] = column
-        return Column(name, id_, type_)
+        step = ExpressionCompiler(self.scope, self.engine.registry).compile(node)
+        id_, type_ = fresh(), step.type or Type.INT64
+        computed[id_] = step.as_type(type_)
+        if not self.engine.wide_averages or step.type != Type.INT64 or step.op not in ("+", "-", "*"):
+            return Column(name, id_, type_)
+        wide_id = fresh()
+        computed[wide_id] = wide(step)
+        return Column(name, id_, type_, wide=wide_id)
 
 
 def _from(compiler: Compiler, stage: Stage) -> None:
@@ -168,7 +172,7 @@ def _aggregate(compiler: Compiler, stage: Stage) -> None:
         if column.type not in (Type.INT64, Type.STRING):
             raise QueryError.unsupported(Unsupported.GROUP_KEY, key.at)
         keys.append(column.id)
-        scope.append(replace(column, name=alias or column.name, raw=None))
+        scope.append(replace(column, name=alias or column.name, raw=None, wide=None))
     columns, plain = [], []
     for item in stage.parts[0].items:
         call, alias = (item.value, item.name.text) if isinstance(item, Named) else (item, None)
@@ -176,7 +180,8 @@ def _aggregate(compiler: Compiler, stage: Stage) -> None:
         type_ = result_type(name, column.type) if column else Type.INT64
         id_ = fresh()
         distinct = distinct and name not in ("min", "max")
-        columns.append(aggregate(name, F.col(column.id) if column else None, distinct).cast(type_.value).alias(id_))
+        read = column and F.col(column.wide if name == "avg" and column.wide else column.id)
+        columns.append(aggregate(name, read, distinct, bool(column and column.wide)).cast(type_.value).alias(id_))
         plain.append((id_, name if not distinct else None, column))
         scope.append(Column(alias or written, id_, type_))
     relation = compiler.relation

@@ -21,12 +21,14 @@ class Type(Enum):
 @dataclass(frozen=True)
 class Column:
     """A column in scope: the name queries use, and its own name in the DataFrame, which no other has. raw: for an
-    integer that stands for something else, what it is, so that conditions can ask the source's own column."""
+    integer that stands for something else, what it is, so that conditions can ask the source's own column. wide: for a
+    computed integer, the id of a decimal column that holds it beyond 64 bits too, if averages read that."""
 
     name: str
     id: str
     type: Type
     raw: Raw | None = None
+    wide: str | None = None
 
 
 @dataclass(frozen=True)

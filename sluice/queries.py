@@ -278,8 +278,8 @@ def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
 _LAST: dict = {"spark": None, "folder": None, "catalog": None}
 
 
-def _pipe(query: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine(spark, sf_dir).sql(query)
+def _pipe(query: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: engine(spark, sf_dir, **options).sql(query)
 
 
 def join_n1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,6 +427,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _ordered(pipe) for name, (pipe, _) in ORDERED.items()},
     **{name: _in_memory(pipe) for name, (pipe, _) in IN_MEMORY.items()},
     **{name: _refused(queries) for name, queries in REFUSED.items()},
+    "agg_avg_exact": _pipe(PIPES["agg_avg_exact"][0], wide_averages=True),  # the SQL's products are of 128 bits
     "join_n1": join_n1,
     "join_then_aggregate": join_then_aggregate,
     "sequence_ids": sequence_ids,

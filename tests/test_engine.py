@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from sluice.engine import Engine
 from sluice.operators.relation import Relation
 from sluice.plans.errors import Code, Failure, QueryError, RunError, run_errors
-from sluice.queries import EXTENDED
+from sluice.queries import EXTENDED, ORACLE_SQL, QUERIES
 from sluice.sources.tables import ParquetFiles, UnsupportedTable, relation
 
 # Rivers: made-up rows with NULLs, ties, zeros and strings of several alphabets.
@@ -226,6 +227,34 @@ def test_averages_are_exact(spark):
     assert tuple(engine.sql("FROM t |> WHERE x IS NULL |> AGGREGATE sum(x), avg(x), min(x), count(x), count(*)").collect()[0]) == (None, None, None, 0, 1)
 
 
+def test_wide_averages(spark):
+    """Averages of what doesn't fit 64 bits, grouped, of distinct values and of columns set again; all else still fails."""
+    k, rows = 600_000_000_000_001, [(g, x) for g, x in zip([1, 1, 2, 2, 2], [150_000, 149_999, 9, 9, None])]
+    frame = spark.createDataFrame(rows, "g long, x long")
+    exact = Engine(spark, {"t": frame}, EXTENDED, wide_averages=True)
+    got = exact.rows(f"FROM t |> EXTEND x * {k} - 1 AS y |> SET y = y + 1 |> RENAME y AS z |> AGGREGATE avg(z) AS m, avg(DISTINCT z) AS d, count(x) AS n GROUP BY g |> ORDER BY g")
+    assert [tuple(r) for r in got] == [(1, 299_999 * k / 2, 299_999 * k / 2, 2), (2, 9 * k, 9 * k, 2)]
+    assert exact.rows("FROM t |> SELECT x * 2 AS y |> UNIQUE |> AGGREGATE avg(y) AS m, count(*) AS n")[0] == (2 * 300_008 / 3, 4)
+    assert exact.rows(f"FROM t |> SELECT x * {k} AS y, g |> AGGREGATE count(*) AS n GROUP BY g |> AGGREGATE avg(n) AS m")[0]["m"] == 2.5
+    joined = exact.then(exact.then(exact.table("t"), f"EXTEND x * {k} AS y").join_n1(relation(spark.range(3)), "g", "id"), "AGGREGATE avg(y) AS m")
+    assert joined.result().collect()[0]["m"] == (299_999 + 18) * k / 4
+    for query in (f"EXTEND x * {k} AS y |> AGGREGATE sum(y) AS s", f"SELECT x * {k} AS y", f"EXTEND x * {k} AS y |> WHERE y > 0 |> AGGREGATE avg(y) AS m", f"EXTEND x * {k} / 2 AS y |> AGGREGATE avg(y) AS m"):
+        with pytest.raises(RunError) as caught:
+            exact.rows(f"FROM t |> {query}")
+        assert caught.value.failure == Failure.OVERFLOW
+    with pytest.raises(RunError):
+        Engine(spark, {"t": frame}).rows(f"FROM t |> EXTEND x * {k} AS y |> AGGREGATE avg(y) AS m")
+
+
+def test_agg_avg_exact_of_large_keys(spark, tmp_path):
+    """As many orders as in sf0.1, whose products leave 64 bits from the 15,373rd on, and 60 times as many: rows of the SQL."""
+    for n in (150_000, 9_000_000):
+        folder = str(tmp_path / str(n))
+        spark.range(n).select(F.col("id").alias("o_orderkey")).write.parquet(f"{folder}/orders.parquet")
+        sql = ORACLE_SQL["agg_avg_exact"].replace("FROM orders", f"FROM '{folder}/orders.parquet/*.parquet'")
+        assert [tuple(r) for r in QUERIES["agg_avg_exact"](spark, folder).collect()] == duckdb.sql(sql).fetchall()
+
+
 def key_of(v, descending):
     return (v is None, 0) if descending and v is None else (v is not None, 0 if v is None else v.encode() if isinstance(v, str) else v)
 
