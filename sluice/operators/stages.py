@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.functions.aggregates import READS, aggregate, result_type
 from sluice.operators.relation import Relation, fresh
@@ -17,6 +19,9 @@ from sluice.plans.tokens import Kind
 from sluice.plans.types import Column, Scope, Type
 
 _INT32_MAX = (1 << 31) - 1
+#: So many rows LIMIT and OFFSET leave to Spark, which gathers them from each task in one; and the rows of a file that
+#: are counted as one block where they are more.
+_TAKEN_MAX, _BLOCK_BITS = 1000, 16
 
 
 class Compiler:
@@ -144,6 +149,22 @@ def _count(node: Node) -> int:
     return int(node.text)
 
 
+def _ranked_between(frame: DataFrame, order: str, first: int, last: int) -> DataFrame:
+    """The rows from the first to the last, from 0 in the order of their places in files. Rows are counted by blocks of
+    files, and places ranked in the two blocks where those two rows stand; all rows are then held against those two
+    places where they are, so that none is moved."""
+    place = F.col(order)
+    block = F.struct(place["path"].alias("path"), place["file"].alias("file"), F.shiftright(place["row"], _BLOCK_BITS).alias("rows"))
+    counted = frame.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    begins = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    ends = counted.select("block", "n", begins.alias("begins")).where(" OR ".join(f"begins <= {k} AND begins + n > {k}" for k in (first, last)))
+    ranked = frame.select(place.alias("place"), block.alias("block")).join(F.broadcast(ends.select("block", "begins")), "block")
+    rank = F.col("begins") + F.row_number().over(Window.partitionBy("block").orderBy("place")) - 1
+    places = ranked.select("place", rank.alias("rank")).agg(*(F.min(F.when(F.col("rank") == k, F.col("place"))).alias(name) for k, name in ((first, "least"), (last, "most"))))
+    kept = (place >= F.col("least")) & (F.col("most").isNull() | (place <= F.col("most")))  # most is NULL if fewer rows follow
+    return frame.join(F.broadcast(places), kept).select(*frame.columns)
+
+
 def _limit(compiler: Compiler, stage: Stage) -> None:
     """Spark counts rows in 32 bits here; larger numbers are refused rather than misread."""
     count, offsets = _count(stage.parts[0]), stage.parts[1].items
@@ -153,12 +174,16 @@ def _limit(compiler: Compiler, stage: Stage) -> None:
     for node, n in ((stage.parts[0], count), *zip(offsets, (offset,))):
         if n > _INT32_MAX:
             raise QueryError.unsupported(Unsupported.LIMIT, node.span())
-    frame = compiler.relation.frame
-    if compiler.relation.order:
-        frame = frame.orderBy(compiler.relation.order)
-    if offset:
-        frame = frame.offset(offset)
-    compiler.relation = replace(compiler.relation, frame=frame.limit(count), files=None)
+    frame, order = compiler.relation.frame, compiler.relation.order
+    if count and count + offset > _TAKEN_MAX and order and isinstance(frame.schema[order].dataType, StructType):
+        frame = _ranked_between(frame, order, offset, offset + count - 1)
+    else:
+        if order:
+            frame = frame.orderBy(order)
+        if offset:
+            frame = frame.offset(offset)
+        frame = frame.limit(count)
+    compiler.relation = replace(compiler.relation, frame=frame, files=None)
 
 
 def _aggregate(compiler: Compiler, stage: Stage) -> None:

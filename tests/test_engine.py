@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.engine import Engine
+from sluice.operators import stages
 from sluice.operators.relation import Relation
 from sluice.plans.errors import Code, Failure, QueryError, RunError, run_errors
 from sluice.queries import EXTENDED, ORACLE_SQL, QUERIES
@@ -293,6 +294,64 @@ def test_order_is_that_of_the_files(spark, tmp_path):
     assert column(engine, "FROM folder |> LIMIT 2 |> SELECT v") == [4, 5]  # by file name within a folder
 
 
+def most_read(spark, run):
+    """What run gives, and the most rows that one of its tasks read from a shuffle."""
+    context = spark._jsparkSession.sparkContext()
+
+    def ran():
+        context.listenerBus().waitUntilEmpty()
+        listed = context.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return [(s.stageId(), s.attemptId()) for s in (listed.apply(k) for k in range(listed.size()))]
+
+    before = set(ran())
+    out, most = run(), 0
+    for stage in set(ran()) - before:
+        tasks = context.statusStore().taskList(*stage, 1000)
+        most = max([most, *(t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in (tasks.apply(k) for k in range(tasks.size())) if t.taskMetrics().isDefined())])
+    return out, most
+
+
+@pytest.fixture(scope="module")
+def walked(spark, tmp_path_factory):
+    """A folder of three files and a fourth file, as one table: 50 rows, numbered; and places, whose blocks are of 4 rows."""
+    folder, start = tmp_path_factory.mktemp("walked"), 0
+    for path, n in (("some/a.parquet", 17), ("some/b.parquet", 3), ("some/c.parquet", 21), ("another.parquet", 9)):
+        (folder / path).parent.mkdir(exist_ok=True)
+        pq.write_table(pa.table({"v": range(start, start + n), "w": [v * 7 % 5 for v in range(start, start + n)]}), folder / path)
+        start += n
+    engine = Engine(spark, ordered=True)
+    engine.register_parquet("t", str(folder / "some"), str(folder / "another.parquet"))
+    return engine
+
+
+def test_large_limits_by_blocks(spark, walked, monkeypatch):
+    """Slices of rows in source order, where none is gathered: within a block, over blocks and files, at and past the end."""
+    monkeypatch.setattr(stages, "_TAKEN_MAX", 0)
+    monkeypatch.setattr(stages, "_BLOCK_BITS", 2)
+    rows = list(range(50))
+    for n, skipped in ((1, 0), (3, 1), (8, 16), (5, 38), (50, 0), (60, 0), (60, 49), (3, 50), (3, 700), (0, 4), (1, 19)):
+        assert column(walked, f"FROM t |> LIMIT {n} OFFSET {skipped} |> SELECT v") == rows[skipped : skipped + n]
+    odd = [v for v in rows if v * 7 % 5 not in (0, 3)]
+    assert column(walked, "FROM t |> WHERE NOT w IN (0, 3) |> EXTEND v + 1 AS u |> LIMIT 20 OFFSET 7 |> LIMIT 9 OFFSET 3 |> SELECT u") == [v + 1 for v in odd[7:27][3:12]]
+    assert column(walked, "FROM t |> WHERE v > 2 |> AGGREGATE count(*) AS n GROUP BY w |> LIMIT 3 OFFSET 1 |> SELECT w") == [3, 0, 2]
+    assert column(walked, "FROM t |> ORDER BY w |> LIMIT 4 OFFSET 9 |> SELECT v") == [45, 3, 8, 13]
+    assert column(walked, "FROM t |> LIMIT 30 OFFSET 10 |> ORDER BY w DESC |> LIMIT 2 |> SELECT v") == [12, 17]
+    joined = walked.table("t").join_n1(relation(spark.range(1, 4)), "w", "id")
+    got = walked.then(joined, "LIMIT 5 OFFSET 6").frame
+    assert sorted(r[0] for r in got.select(joined.scope[0].id).collect()) == [v for v in rows if v * 7 % 5 in (1, 2, 3)][6:11]
+    walked.register_parquet("none", walked.catalog.find("t").paths[1])
+    assert column(walked, "FROM none |> WHERE v > 99 |> LIMIT 2 OFFSET 1") == []
+
+
+def test_order_multi_file_gathers_no_table(spark, tmp_path):
+    """A task holds blocks of rows, however many rows LIMIT and OFFSET pass over; it was both copies of the table."""
+    n = 300_000
+    spark.range(0, n, 1, 3).select(F.col("id").alias("o_orderkey"), (-F.col("id")).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    rows, most = most_read(spark, lambda: QUERIES["order_multi_file"](spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in rows] == [(k % n, -(k % n)) for k in range(n - 3, n + 4)]
+    assert 0 < most <= 2 << 16
+
+
 # Joins
 
 
